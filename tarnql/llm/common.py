@@ -44,8 +44,8 @@ def blank_words(text: bytes | None) -> list[bytes]:
 
 
 def _cut(text: bytes | None, table: bytes) -> list[bytes]:
-    # split(b" ") keeps other bytes that bytes.split() would take as blanks
-    return [w for w in text.translate(table).split(b" ") if w] if text else []
+    # bytes.split() takes only 0x20 and 0x09-0x0D as blanks
+    return text.translate(table).split() if text else []
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
