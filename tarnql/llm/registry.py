@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tarnql.llm import fingerprints
+from tarnql.llm import fingerprints, quality
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (fingerprints.op10_document_fingerprints,)}
+    return {f.__name__: f for f in (quality.op9_quality_classifier, fingerprints.op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
