@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tarnql.llm import fingerprints, packing, quality
+from tarnql.llm import fingerprints, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op2_packing, quality.op9_quality_classifier, fingerprints.op10_document_fingerprints)}
+    return {f.__name__: f for f in (packing.op2_packing, toxicity.op7_toxicity, token_counts.op8_token_counts, quality.op9_quality_classifier, fingerprints.op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
