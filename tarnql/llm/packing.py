@@ -35,7 +35,7 @@ from tarnql.llm import common
 CAPACITY = 2048
 END_ID = 1
 #: Pieces in a block, about; ranks are counted inside a block.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 #: Characters whose unknown chunks are encoded together, about.
 TOGETHER = 1 << 20
 #: Chunks whose ids a worker remembers.
