@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tarnql.llm import decontamination, fingerprints, language, licenses, packing, quality, token_counts, toxicity
+from tarnql.llm import decontamination, fingerprints, jaccard_join, language, licenses, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (decontamination.op1_benchmark_decontamination, packing.op2_packing, language.op5_language_id, licenses.op6_license_scans, toxicity.op7_toxicity, token_counts.op8_token_counts, quality.op9_quality_classifier, fingerprints.op10_document_fingerprints)}
+    return {f.__name__: f for f in (decontamination.op1_benchmark_decontamination, packing.op2_packing, jaccard_join.op4_ngram_jaccard_join, language.op5_language_id, licenses.op6_license_scans, toxicity.op7_toxicity, token_counts.op8_token_counts, quality.op9_quality_classifier, fingerprints.op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
