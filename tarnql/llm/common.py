@@ -85,10 +85,10 @@ def with_columns(df: DataFrame, source: str, fn: Callable[[list], dict], new: st
     """``df`` and the columns that ``fn`` makes of the UTF-8 texts in ``source``.
 
     All rows and columns pass through one Arrow stage: no shuffle and no join.
+    A column that has a new one's name is replaced.
     """
     fresh = T._parse_datatype_string(new)
-    if clash := set(df.columns) & set(fresh.names):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    df = df.drop(*(set(fresh.names) - {source}))
     kept = df.columns
 
     def each(batch: pa.RecordBatch) -> dict:

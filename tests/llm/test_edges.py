@@ -1,0 +1,114 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tarnql.llm import decontamination, fingerprints, html_text, jaccard_join, language, licenses, packing, quality, token_counts, toxicity
+
+LONG = "the quick brown fox jumps over the lazy dog and " * 30_000
+DOCS = [
+    (1, None, None, 3),
+    (2, "", "en", 3),
+    (3, "same words in the same row and more", "en", 3),
+    (3, "same words in the same row and more", "en", 3),
+    (3, "another text with the same id", "en", None),
+    (None, "a text without an id", "fr", 3),
+    (4, LONG, "en", 3),
+    (5, "\u0000 \u001c ﻿ 中文 Ünïcödé '' \\ {}", None, 3),
+    (6, "12 34 !! ??", "de", 3),
+    (7, "le chat et le chien dans la maison", "fr", 3),
+]
+#: Names that the operators use themselves.
+CLASH = "score n_tokens toxic severity lang_pred findings block hash key n tokens token node rep segment nth n_chars sequence_id offset component_id quality_score".split()
+
+
+def _model(docs, labels):
+    return quality.train(docs, labels), toxicity.train(docs, labels), language.train(docs)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(DOCS, "doc_id long, text string, lang string, n_chars long")
+    return df.select("*", *(F.lit("x").alias(c) for c in CLASH if c != "n_chars"))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(3, 1, 0), (7, 0, 1), (None, 1, 1), (9, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(1, "another text with the same id"), (2, None), (None, "jumps over the lazy dog"), (3, ""), (1, "another text with the same id")], "item_id long, text string")
+
+
+def _all(docs, labels, bench):
+    q, t, lang = _model(docs, labels)
+    yield "1", decontamination.report(decontamination.search(decontamination.build_index(docs), bench))
+    yield "2", packing.pack(docs, packing.default_tokenizer())
+    yield "4", jaccard_join.jaccard_components(docs)
+    yield "5", language.identify(docs, lang)
+    yield "5 words", language.label_words(docs, lang)
+    yield "6", licenses.scan(docs)
+    yield "7", toxicity.severity(docs, t)
+    yield "8", token_counts.token_counts(docs, token_counts.default_model())
+    yield "9", quality.score(docs, q)
+    yield "10", fingerprints.fingerprint(docs)
+
+
+def test_odd_rows(docs, labels, bench):
+    got = {name: df.collect() for name, df in _all(docs, labels, bench)}
+    for name, rows in got.items():
+        if name != "2":
+            assert len(rows) == len(DOCS), name
+    by = lambda name: {r["doc_id"]: r for r in got[name]}
+    assert by("1")[1]["n_words"] == 0 and not by("1")[2]["contaminated"]
+    third = [r for r in got["1"] if r["doc_id"] == 3]
+    assert sorted(r["n_hit"] for r in third) == [0, 0, 6] and max(r["n_items"] for r in third) == 1
+    assert by("1")[4]["n_hit"] == 30_000 * 5
+    assert sum(r["length"] for r in got["2"] if r["doc_id"] == 4) == by("2")[4]["doc_tokens"]
+    assert sum(r["doc_id"] == 1 for r in got["2"]) == 1
+    comps = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got["4"]}
+    assert comps[(1, 0)] == 1 and comps[(2, 0)] == 2 and comps[(3, 4)] == 3 and comps[(None, 1)] is None
+    assert by("5")[1]["lang_pred"] == by("5")[6]["lang_pred"] == "und" and by("5")[6]["score"] == 0
+    assert by("5")[5]["lang_pred"] != "und"
+    assert by("6")[1]["findings"] == []
+    assert by("8")[1]["n_tokens"] == by("8")[2]["n_tokens"] == 0 and by("8")[4]["n_pretokens"] == 300_000
+    assert all(0 <= r["score"] <= 1 for r in got["9"])
+    for r in got["10"]:
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert by("10")[1]["fingerprint"] == by("10")[2]["fingerprint"]
+
+
+def test_no_rows(docs, labels, bench):
+    none = docs.filter("1 = 0")
+    for name, df in _all(none, labels.filter("1 = 0"), bench.filter("1 = 0")):
+        assert df.count() == 0, name
+    found = decontamination.report(decontamination.search(decontamination.build_index(docs), bench.filter("1 = 0")))
+    assert found.filter("contaminated").count() == 0 and found.count() == len(DOCS)
+
+
+def test_pages(spark):
+    rows = [(1, "http://a.example/x", None), (2, None, ""), (3, "no url", "<p>one</p>"), (3, "no url", "<p>one</p>"), (4, "http://a.example/y", "<div>" * 3000 + "deep"), (5, "http://a.example/z", "<p>" + "word " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("slots", F.lit(2))
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(df).collect()]
+    assert sorted(x for x in got if x[0] < 4) == [(1, "", 0), (2, "", 0), (3, "one", 3), (3, "one", 3)]
+    assert dict((i, n) for i, _, n in got)[5] == 999_999 and len(got) == 6
+    assert html_text.main_text(df.filter("1 = 0")).count() == 0
+
+
+def test_pipeline_stages(spark, docs, labels, bench, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.count() <= len(DOCS)
+        assert stage(spark, docs.filter("1 = 0"), str(tmp_path)).count() == 0, name
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == [1, 2, 3, 4, 5, 6, 7, None]
+    clean = [r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()]
+    assert 3 not in clean and 4 not in clean and {1, 2, 5, 6, 7, None} <= set(clean)
+    assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()} >= {3, 4, 7}
+    assert {r["doc_id"] for r in corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()} == {d[0] for d in DOCS}
