@@ -11,9 +11,9 @@ one for each of its hosts, and the tasks' wrappers meet by host: a host with a
 third of all pages sends one wrapper for each task.
 
 The finished wrapper decides which slots hold the main text: those of the
-article, or else of the element with most of the running text, without
-boilerplate elements, slots of mostly links, and texts that never change on a
-host.  Each page's slots then give its text.
+article without boilerplate elements; where none is marked, those of the
+element with most of the running text, also without slots of mostly links and
+texts that never change on a host.  Each page's slots then give its text.
 
 Defined cases: null and empty html give the empty text.  Urls without a host
 share one wrapper.  Unclosed comments, scripts and elements end with the page.
@@ -139,6 +139,7 @@ def stream(page: str) -> Iterator[tuple[tuple[str, ...], str | None, bool]]:
                 for i in range(len(open_) - 1, -1, -1):
                     if open_[i][0] in implied:
                         del open_[i:]
+                        yield path(), None, False
                         break
                     if open_[i][0] in SCOPE and open_[i][0] not in implied:
                         break
@@ -300,11 +301,11 @@ def main_slots(wrapper: Node) -> list[str]:
         return False
 
     good = {p: ns for p, ns in by_path.items() if not is_boilerplate(p)}
-    # unchanged on many pages: the template's own words
-    if wrapper.pages >= TEMPLATE_PAGES:
-        good = {p: ns for p, ns in good.items() if not all(n.text is not None and not n.repeated for n in ns)} or good
     inside = {p: ns for p, ns in good.items() if any(map(_is_main, p))}
     if not any(n.chars for ns in inside.values() for n in ns):
+        # unchanged on many pages: the template's own words
+        if wrapper.pages >= TEMPLATE_PAGES:
+            good = {p: ns for p, ns in good.items() if not all(n.text is not None and not n.repeated for n in ns)} or good
         flowing = {p: ns for p, ns in good.items() if sum(n.linked for n in ns) <= 0.5 * sum(n.chars for n in ns)}
         total = sum(n.chars for ns in flowing.values() for n in ns)
         # the innermost element with most of the running text
