@@ -51,21 +51,24 @@ def fit(texts: list[bytes], toxic: list[int]) -> dict | None:
     y = np.asarray(toxic, bool)
     if not y.any() or y.all():
         return None
-    words = [set(common.alnum_words(t)) for t in texts]
-    counts = [Counter(f for w in ws for f in features(w)) for ws in words]
     total, with_toxic = Counter(), Counter()
-    for c, t in zip(counts, y, strict=True):
-        total.update(c.keys())
+    for text, t in zip(texts, y, strict=True):  # one text's features at a time
+        own = {f for w in set(common.alnum_words(text)) for f in features(w)}
+        total.update(own)
         if t:
-            with_toxic.update(c.keys())
+            with_toxic.update(own)
     base = y.mean()
     z = {f: (with_toxic[f] - n * base) / np.sqrt(n * base * (1 - base)) for f, n in total.items() if n >= LEAST_ROWS}
     names = sorted((f for f in z if z[f] >= LEAST_Z), key=lambda f: (-z[f], f))[:MAX_FEATURES]
     if not names:
         return None
-    x = np.array([[c[f] for f in names] for c in counts], np.float64)
-    marked = set(names)
-    hits = np.array([sum(not marked.isdisjoint(features(w)) for w in ws) for ws in words])
+    column = {f: i for i, f in enumerate(names)}
+    x, hits = np.zeros((len(texts), len(names))), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        for w in set(common.alnum_words(text)):
+            own = [column[f] for f in features(w) if f in column]
+            x[i, own] += 1
+            hits[i] += bool(own)
     grade = np.where(y, 1 + np.searchsorted(np.quantile(hits[y], [1 / 3, 2 / 3]), hits), 0)
     weights, thresholds = _fit_ordinal(x, grade)
     return {"weights": dict(zip(names, weights.tolist(), strict=True)), "thresholds": thresholds.tolist()}
