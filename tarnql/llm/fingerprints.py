@@ -15,6 +15,7 @@ before all others.  A single document is its own next document.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -188,11 +189,10 @@ def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
     named by its smallest doc_id, so a group of copies takes part once.  Sets
     are partitioned by size: bounds grow by 1/least, so a pair lies in one
     partition or in two neighbouring ones.  Inside a partition a pair is found
-    through the rarest signatures of its smaller set, no more than the Jaccard
-    bound asks for, and compared under the size bound.
+    through the first signatures of both sets, in one order for all and no more
+    of them than the Jaccard bound asks for, and compared under the size bound.
+    A signature that many different texts share makes as many pairs to compare.
     """
-    import math
-
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     size = F.length("fingerprint") / 8
     part = F.floor(F.log(size) / math.log(1 / least) + 1e-9).cast("int")
