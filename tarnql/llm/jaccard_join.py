@@ -12,8 +12,8 @@ link when 100 * intersection >= 75 * union.  All links are found:
    prefix.  Shingles that one set alone has in its prefix drop out in a
    streaming pass over each partition; no group is held in memory.
 3. Candidates.  Sets that share a prefix shingle are paired if their sizes
-   allow a link.  If more than ``LARGE`` sets share one, each is paired with the
-   smallest only; once links have joined most of such a group into one
+   allow a link.  If more than ``LARGE`` sets share one, each is paired with
+   ``PIVOTS`` of them only; once links have joined most of such a group into one
    component, a second round pairs what still lies in different components.
    Pairs whose common prefix shingles are too few for a link are pruned.
 4. Trie.  A candidate set's partners, in the global order, form a prefix tree,
@@ -49,6 +49,8 @@ COUNTERS = 1 << 20
 PARTS = 16
 #: Sets that may share a prefix shingle and still be paired each with each.
 LARGE = 256
+#: Sets that all sets of a larger group are paired with at first.
+PIVOTS = 24
 #: Partners of one candidate in a task, about.
 PARTNERS = 64
 #: Bits of the filter that spares a shuffle of texts without candidates.
@@ -178,12 +180,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tup
 
 
 def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
-    """(a, b, na, nb, token) for each shared token, from (token, key, n) dealt and sorted by token, n and key.
+    """(a, b, na, nb, token, place) for each shared token, from (token, key, size) dealt and sorted by token, size and key.
 
-    ``token`` is null for a pair of a small group.  In a large group, which is
-    not held in memory, each set is paired with the first, and the token told.
+    ``size`` has the set's size in its upper half and the token's place in the
+    set in its lower one.  ``token`` is null for a pair of a small group.  In a
+    large group, which is not held in memory, each set is paired with a few of
+    the first ones, and with itself to tell its token's place.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("token", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("token", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -197,14 +201,17 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
             many = np.maximum(to - i - 1, 0)
             left = np.repeat(i, many)
             right = left + 1 + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            add(keys[left], keys[right], n[left], n[right], None)
+            pair(keys[left], keys[right], n[left], n[right])
 
-        def add(a, b, na, nb, token) -> None:
+        def pair(a, b, na, nb, token=None) -> None:
+            swap = a > b
+            add(np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), token, np.full(len(a), -1))
+
+        def add(a, b, na, nb, token, place) -> None:
             nonlocal size
             if len(a):
-                swap = a > b
-                t = np.zeros(len(a), np.int64) if token is None else np.full(len(a), token)
-                parts.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), t, np.full(len(a), token is None)))
+                small = token is None
+                parts.append((a, b, na, nb, np.full(len(a), 0 if small else token), np.zeros(len(a), np.int64) if small else place, np.full(len(a), small)))
                 size += len(a)
 
         def flush() -> pa.RecordBatch:
@@ -212,34 +219,51 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
             cols = [np.concatenate(x) for x in zip(*parts)]
             parts.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4], mask=cols[5])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4], mask=cols[6]), pa.array(cols[5].astype(np.int32), mask=cols[6])], schema=schema)
 
-        # the open group: its token, its first rows, and whether it has outgrown them
-        token, keys, ns, first, last = None, [], [], None, None
+        # the open group: its token, its first rows, or its pivots if it has outgrown them
+        token, keys, ns, places, pivots, last = None, [], [], [], None, None
         for batch in batches:
-            t, k, n = (batch.column(i).to_numpy() for i in range(3))
+            t, k, packed = (batch.column(i).to_numpy() for i in range(3))
+            n, place = packed >> 32, packed & 0xFFFFFFFF
             cut = np.flatnonzero(np.diff(t)) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
+            lows, highs = np.concatenate([[0], cut]), np.concatenate([cut, [len(t)]])
+            # runs of one row inside a batch are tokens of one set; only a batch's ends may go on elsewhere
+            worth = highs - lows > 1
+            worth[0] = worth[-1] = True
+            two = highs - lows == 2
+            two[0] = two[-1] = False
+            at = lows[two]
+            at = at[(k[at] != k[at + 1]) & (3 * n[at + 1] <= 4 * n[at])]
+            pair(k[at], k[at + 1], n[at], n[at + 1])
+            worth &= ~two
+            for lo, hi in zip(lows[worth].tolist(), highs[worth].tolist(), strict=True):
                 if hi == lo:
                     continue
                 if t[lo] != token:
                     if len(ns) and sum(map(len, ns)) > 1:
                         small(np.concatenate(keys), np.concatenate(ns))
-                    token, keys, ns, first, last = t[lo], [], [], None, None
-                kk, nn = k[lo:hi], n[lo:hi].astype(np.int64)
+                    token, keys, ns, places, pivots, last = t[lo], [], [], [], None, None
+                kk, nn, pp = k[lo:hi], n[lo:hi], place[lo:hi]
                 fresh = np.concatenate([[last is None or kk[0] != last], kk[1:] != kk[:-1]])  # copies lie side by side
                 last = kk[-1]
-                kk, nn = kk[fresh], nn[fresh]
+                kk, nn, pp = kk[fresh], nn[fresh], pp[fresh]
                 if not len(kk):
                     continue
-                if first is None and sum(map(len, ns)) + len(kk) > most:
-                    kk, nn = np.concatenate([*keys, kk]), np.concatenate([*ns, nn])
-                    first, keys, ns = (kk[0], nn[0]), [], []
-                if first is None:
+                if pivots is None and sum(map(len, ns)) + len(kk) > most:
+                    kk, nn, pp = np.concatenate([*keys, kk]), np.concatenate([*ns, nn]), np.concatenate([*places, pp])
+                    few = np.argsort(kk)[:PIVOTS]  # keys are hashes, so groups of the same sets have the same pivots
+                    pivots, keys, ns, places = (kk[few], nn[few]), [], [], []
+                if pivots is None:
                     keys.append(kk)
                     ns.append(nn)
+                    places.append(pp)
                 else:
-                    add(np.full(len(kk), first[0]), kk, np.full(len(kk), first[1]), nn, token)
+                    add(kk, kk, nn, nn, token, pp)
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(pivots[0])), np.arange(len(kk))))
+                    a, na, b, nb = pivots[0][i], pivots[1][i], kk[j], nn[j]
+                    ok = (a != b) & (3 * na <= 4 * nb) & (3 * nb <= 4 * na)
+                    pair(a[ok], b[ok], na[ok], nb[ok], token)
             if size > 50_000:
                 yield flush()
         if len(ns) and sum(map(len, ns)) > 1:
@@ -247,8 +271,8 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
         if size:
             yield flush()
 
-    entries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return entries.mapInArrow(run, "a long, b long, na int, nb int, token long")
+    entries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    return entries.mapInArrow(run, "a long, b long, na int, nb int, token long, place int")
 
 
 def _bound(pairs: DataFrame) -> DataFrame:
@@ -402,20 +426,21 @@ def jaccard_components(docs: DataFrame, most: int = LARGE) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(rows))
     table = common.stored(prefixes(rows, classes))
-    entries = table.filter("tokens is not null").select(F.explode("tokens").alias("token"), "key", F.col("n").cast("int").alias("n"))
-    dealt = entries.repartition("token").sortWithinPartitions("token", "n", "key")
-    found = common.stored(candidates(dealt, most).groupBy("a", "b", "token").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("c")))
+    entries = table.filter("tokens is not null").select(F.posexplode("tokens").alias("place", "token"), "key", "n")
+    entries = entries.select("token", "key", (F.shiftleft("n", 32) + F.col("place")).alias("size"))
+    dealt = entries.repartition("token").sortWithinPartitions("token", "size", "key")
+    found = common.stored(candidates(dealt, most).groupBy("a", "b", "token").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("place").alias("place"), F.count(F.lit(1)).alias("c")))
     ids = table.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     ids = common.stored(ids)
-    counted = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.when(F.col("token").isNull(), F.col("c")).otherwise(0)).alias("c"), F.max(F.col("token").isNotNull()).alias("star"))
+    counted = found.filter("a != b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.when(F.col("token").isNull(), F.col("c")).otherwise(0)).alias("c"), F.max(F.col("token").isNotNull()).alias("star"))
     # stars of large groups are only a first guess, so they need not be pruned away
     first = common.stored(_bound(counted.withColumn("c", F.when(F.col("star"), F.col("na") + F.col("nb")).otherwise(F.col("c")))).select("a", "b"))
     linked = _verified(rows, first, ids, classes)
     edges = _by_doc(linked, ids)
-    large = found.filter("token is not null").select("token").distinct()
-    if not large.isEmpty():
+    stars = found.filter("token is not null")
+    if not stars.isEmpty():
         linked = common.stored(linked)
-        second = common.stored(_second_round(entries, large, linked, counted))
+        second = common.stored(_second_round(stars, linked, counted))
         edges = _by_doc(linked.unionByName(_verified(rows, second, ids, classes)), ids)
     # a document with several texts joins their sets
     texts = table.filter("doc_id is not null and n > 0").select("doc_id", "key").join(ids.withColumnRenamed("doc_id", "rep"), "key")
@@ -444,23 +469,31 @@ def _by_doc(linked: DataFrame, ids: DataFrame) -> DataFrame:
     return linked.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _second_round(entries: DataFrame, large: DataFrame, linked: DataFrame, counted: DataFrame) -> DataFrame:
-    """Pairs of large groups that the links so far leave in different components, and that may still link."""
-    by_key = components(linked.select("a", "b"))
-    members = entries.join(large, "token", "left_semi").join(by_key.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("component"))
-    members = common.stored(members.distinct())
+def _second_round(stars: DataFrame, linked: DataFrame, counted: DataFrame) -> DataFrame:
+    """Pairs of large groups that the links so far leave in different components, and that may still link.
+
+    The first common token of a linked pair leaves both sets enough of their
+    rest for a link.  If it is a large group's token, the places of the token in
+    both sets tell.  If it is a small group's, the pair was counted before, and
+    was pruned only as its common large tokens were not; they are at most as
+    many as either set has.
+    """
+    members = stars.filter("a = b").select("token", F.col("b").alias("key"), F.col("nb").alias("n"), "place")
+    by_key = components(linked.select("a", "b")).withColumnRenamed("node", "key")
+    members = common.stored(members.join(by_key, "key", "left").withColumn("component", F.coalesce("component", "key")))
     mixed = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("token")
-    # a set outside a group's main component meets all sets of other components that its size allows
     left = members.join(mixed, "token")
+    # all but the largest component's sets meet those of other components
     sizes = left.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
-    left = left.join(main, "token")
-    outside = left.filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
-    pairs = outside.join(left.drop("main"), "token").filter("component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np")
-    named = pairs.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"), F.when(F.col("p") < F.col("key"), F.col("np")).otherwise(F.col("n")).alias("na"), F.when(F.col("p") < F.col("key"), F.col("n")).otherwise(F.col("np")).alias("nb"), "token")
-    shared = named.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_distinct("token").alias("more"))
-    total = shared.join(counted.select("a", "b", "c"), ["a", "b"], "left").withColumn("c", F.col("more") + F.coalesce("c", F.lit(0)))
-    return _bound(total).select("a", "b")
+    outside = left.join(main, "token").filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("component").alias("cp"))
+    met = outside.join(left, "token").filter("component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np and 3 * (n + np) <= 7 * (n - place) and 3 * (n + np) <= 7 * (np - pp)")
+    by_place = met.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
+    held = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    one, two = (held.select(F.col("key").alias(k), F.col("held").alias(f"held_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
+    before = counted.filter("not star").join(one, "a").join(two, "b").filter("component_a != component_b")
+    by_count = _bound(before.withColumn("c", F.col("c") + F.least("held_a", "held_b"))).select("a", "b")
+    return by_place.unionByName(by_count).distinct()
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
