@@ -38,8 +38,8 @@ END_ID = 1
 BLOCK_ROWS = 10_000
 #: Characters whose unknown chunks are encoded together, about.
 TOGETHER = 1 << 20
-#: Chunks whose ids a worker remembers.
-MEMORY = 400_000
+#: Chunks whose ids a worker remembers, and as many again that were last in use before those.
+MEMORY = 300_000
 #: Stands between chunks that are encoded together; texts with it, or with a
 #: control character that only str.split() takes as a blank, are encoded whole.
 MARK = "\x01"
@@ -62,6 +62,7 @@ class Encoder:
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.whole_only = (*WHOLE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.chunks: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return self._ids(self.tokenizer, text).tobytes()
@@ -81,11 +82,15 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.chunks
-        if len(known) > MEMORY:
-            known.clear()
+        if len(self.chunks) > MEMORY:
+            self.chunks, self.before = {}, self.chunks
+        known, before = self.chunks, self.before
         cuts = [None if any(x in text for x in self.whole_only) else text.split() for text in texts]
         new = {c for cut in cuts if cut for c in cut if c not in known}
+        if before:
+            again = {c for c in new if c in before}
+            known.update({c: before[c] for c in again})
+            new -= again
         # below U+0300 no character composes with another, and each is lower-cased by itself
         odd = {c for c in new if not c.isascii() and max(c) >= "\u0300"}
         self._learn(self.plain, list(new - odd), str.lower)
