@@ -275,15 +275,14 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
     return entries.mapInArrow(run, "a long, b long, na int, nb int, token long, place int")
 
 
-def _bound(pairs: DataFrame) -> DataFrame:
-    """Pairs whose common prefix tokens leave a link possible.
+def _may_link(shared: F.Column) -> F.Column:
+    """Whether so many common prefix tokens leave a link of sets of sizes na and nb possible.
 
     The set whose prefix ends first has all its common ones among the other's
     prefix; what follows its prefix adds at most its remaining length.
     """
     rest = lambda n: F.ceil(F.col(n) * 3 / 4) - 1  # noqa: E731  n - prefix length
-    least = F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
-    return pairs.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= least)
+    return shared + F.greatest(rest("na"), rest("nb")) >= F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -432,9 +431,11 @@ def jaccard_components(docs: DataFrame, most: int = LARGE) -> DataFrame:
     found = common.stored(candidates(dealt, most).groupBy("a", "b", "token").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("place").alias("place"), F.count(F.lit(1)).alias("c")))
     ids = table.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     ids = common.stored(ids)
-    counted = found.filter("a != b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.when(F.col("token").isNull(), F.col("c")).otherwise(0)).alias("c"), F.max(F.col("token").isNotNull()).alias("star"))
-    # stars of large groups are only a first guess, so they need not be pruned away
-    first = common.stored(_bound(counted.withColumn("c", F.when(F.col("star"), F.col("na") + F.col("nb")).otherwise(F.col("c")))).select("a", "b"))
+    small = F.sum(F.when(F.col("token").isNull(), F.col("c")).otherwise(0))
+    counted = found.filter("a != b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), small.alias("c"), F.sum("c").alias("with_pivots"))
+    # what a pivot and a set share of large groups' tokens is not all counted; the second round makes up for it
+    counted = counted.withColumn("kept", _may_link(F.col("with_pivots")))
+    first = common.stored(counted.filter("kept").select("a", "b"))
     linked = _verified(rows, first, ids, classes)
     edges = _by_doc(linked, ids)
     stars = found.filter("token is not null")
@@ -491,8 +492,8 @@ def _second_round(stars: DataFrame, linked: DataFrame, counted: DataFrame) -> Da
     by_place = met.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
     held = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
     one, two = (held.select(F.col("key").alias(k), F.col("held").alias(f"held_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
-    before = counted.filter("not star").join(one, "a").join(two, "b").filter("component_a != component_b")
-    by_count = _bound(before.withColumn("c", F.col("c") + F.least("held_a", "held_b"))).select("a", "b")
+    before = counted.filter("not kept").join(one, "a").join(two, "b").filter("component_a != component_b")
+    by_count = before.filter(_may_link(F.col("c") + F.least("held_a", "held_b"))).select("a", "b")
     return by_place.unionByName(by_count).distinct()
 
 
