@@ -7,13 +7,15 @@ aligned with further pages of the same host, one after the other.  Where the
 streams agree nothing changes.  A mismatch of texts makes a slot; neighbours of
 one pattern become a repeated group; a part that one side lacks becomes
 optional.  Wrappers align with wrappers in the same way, so each task infers
-one for each of its hosts, and the tasks' wrappers meet by host: a host with a
-third of all pages sends one wrapper for each task.
+one for each of its hosts' layouts, and the tasks' wrappers meet by host: a
+host with a third of all pages sends one wrapper of a layout for each task.
 
-The finished wrapper decides which slots hold the main text: those of the
-article without boilerplate elements; where none is marked, those of the
-element with most of the running text, also without slots of mostly links and
-texts that never change on a host.  Each page's slots then give its text.
+Pages of a host have the same layout if all have text in a marked article, or if
+none has and the same element holds the most running text.  The finished wrapper
+of a layout decides which slots hold the main text: those of the article without
+boilerplate elements; where none is marked, all without boilerplate elements,
+slots of mostly links and texts that never change on a host.  Each page's slots
+then give its text; a page without text in them is decided by its own pattern.
 
 Defined cases: null and empty html give the empty text.  Urls without a host
 share one wrapper.  Unclosed comments, scripts and elements end with the page.
@@ -51,6 +53,10 @@ IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPE = frozenset("article main section div ul ol dl table body html aside nav footer header form blockquote td th li".split())
 
+#: Elements whose text blocks make a layout.
+HOLDERS = frozenset("html body div section".split())
+#: The layout of pages with text in a marked article.
+MARKED = "*"
 #: Elements nested deeper belong to the one at this depth.
 DEPTH = 64
 #: Pages of a host below which an unchanged text is no sign of a template.
@@ -90,6 +96,19 @@ def _is_main(label: str) -> bool:
     return tag in MAIN or "main" in names or (tag in ("div", "section") and any(w in MAIN_NAMES for n in names for w in re.split(r"[^a-z]+", n)) and not _is_boilerplate(label))
 
 
+@lru_cache(maxsize=100_000)
+def _is_skipped(path: tuple[str, ...]) -> bool:
+    """A boilerplate element is on the path."""
+    inside = False
+    for label in path:
+        if _is_boilerplate(label):
+            return True
+        if label.split(".")[0] == "header" and not inside:
+            return True
+        inside |= _is_main(label)
+    return False
+
+
 def stream(page: str) -> Iterator[tuple[tuple[str, ...], str | None, bool]]:
     """(path, text, in a link) for each text, and (path, None, False) at each block's edge."""
     open_: list[tuple[str, str]] = []  # (tag, label) of open elements
@@ -274,6 +293,22 @@ def _count(a: Node, b: Node) -> None:
     a.pages += b.pages
 
 
+def layout(page: str) -> str:
+    """MARKED, or the path of the element that holds the most running text."""
+    chars: dict[tuple[str, ...], int] = {}
+    for path, text, in_link in stream(page):
+        if not text or not (size := len(text.strip())) or _is_skipped(path):
+            continue
+        if any(map(_is_main, path)):
+            return MARKED
+        if not in_link:
+            d = len(path)
+            while d and path[d - 1].split(".")[0] not in HOLDERS:
+                d -= 1
+            chars[path[:d]] = chars.get(path[:d], 0) + size
+    return "/".join(max(chars, key=lambda p: (chars[p], p), default=()))
+
+
 def main_slots(wrapper: Node) -> list[str]:
     """The paths of the slots that hold the main text."""
     slots: list[tuple[tuple[str, ...], Node]] = []
@@ -290,32 +325,13 @@ def main_slots(wrapper: Node) -> list[str]:
     for path, node in slots:
         by_path.setdefault(path, []).append(node)
 
-    def is_boilerplate(path: tuple[str, ...]) -> bool:
-        inside = False
-        for label in path:
-            if _is_boilerplate(label):
-                return True
-            if label.split(".")[0] == "header" and not inside:
-                return True
-            inside |= _is_main(label)
-        return False
-
-    good = {p: ns for p, ns in by_path.items() if not is_boilerplate(p)}
+    good = {p: ns for p, ns in by_path.items() if not _is_skipped(p)}
     inside = {p: ns for p, ns in good.items() if any(map(_is_main, p))}
     if not any(n.chars for ns in inside.values() for n in ns):
         # unchanged on many pages: the template's own words
         if wrapper.pages >= TEMPLATE_PAGES:
             good = {p: ns for p, ns in good.items() if not all(n.text is not None and not n.repeated for n in ns)} or good
-        flowing = {p: ns for p, ns in good.items() if sum(n.linked for n in ns) <= 0.5 * sum(n.chars for n in ns)}
-        total = sum(n.chars for ns in flowing.values() for n in ns)
-        # the innermost element with most of the running text
-        depth_of: dict[tuple[str, ...], int] = {}
-        for p, ns in flowing.items():
-            for d in range(len(p) + 1):
-                depth_of[p[:d]] = depth_of.get(p[:d], 0) + sum(n.chars for n in ns)
-        holders = [p for p, c in depth_of.items() if c >= 0.7 * total and (not p or p[-1].split(".")[0] not in ("p", "li"))]
-        top = max(holders, key=len, default=())
-        inside = {p: ns for p, ns in flowing.items() if p[: len(top)] == top}
+        inside = {p: ns for p, ns in good.items() if sum(n.linked for n in ns) <= 0.5 * sum(n.chars for n in ns)}
     return ["/".join(p) for p in inside]
 
 
@@ -332,45 +348,53 @@ def extract(page: str, slots: frozenset[str]) -> str:
     return " ".join("".join(out).split())
 
 
+def page_text(page: str, slots: frozenset[str]) -> str:
+    """The slots' texts, or if there are none those that the page alone gives."""
+    return extract(page, slots) or extract(page, frozenset(main_slots(pattern(page))))
+
+
 def host(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, slots): each host's main-text slots, from all its pages.
+    """(host, layout, slots): the main-text slots of each host's layouts, from all their pages.
 
-    Tasks infer their own pages' wrappers first; a host's wrappers, one for
+    Tasks infer their own pages' wrappers first; a layout's wrappers, one for
     each task at most, then meet.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, Node] = {}
+        own: dict[tuple[str, str], Node] = {}
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    new = pattern(page)
-                    own[name] = merge(own[name], new) if name in own else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([json.dumps(w.pack()) for w in own.values()], pa.string())], names=["host", "wrapper"])
+                    key, new = (name, layout(page)), pattern(page)
+                    own[key] = merge(own[key], new) if key in own else new
+        columns = [[h for h, _ in own], [x for _, x in own], [json.dumps(w.pack()) for w in own.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "layout", "wrapper"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, wrapper = None, None
-        out: list[tuple[str, list[str]]] = []
+        key, wrapper = None, None
+        out: list[tuple[str, str, list[str]]] = []
         for batch in batches:
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *new_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 new = Node.unpack(json.loads(text))
-                if h == name:
+                if new_key == key:
                     wrapper = merge(wrapper, new)
                 else:
                     if wrapper is not None:
-                        out.append((name, main_slots(wrapper)))
-                    name, wrapper = h, new
+                        out.append((*key, main_slots(wrapper)))
+                    key, wrapper = new_key, new
         if wrapper is not None:
-            out.append((name, main_slots(wrapper)))
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([s for _, s in out], pa.list_(pa.string()))], names=["host", "slots"])
+            out.append((*key, main_slots(wrapper)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.string()), pa.array([s for _, _, s in out], pa.list_(pa.string()))], names=["host", "layout", "slots"]
+        )
 
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(each, "host string, wrapper string")
-    return found.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, "host string, slots array<string>")
+    found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(each, "host string, layout string, wrapper string")
+    return found.repartition("host").sortWithinPartitions("host", "layout", "wrapper").mapInArrow(meet, "host string, layout string, slots array<string>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -378,18 +402,24 @@ def main_text(pages: DataFrame) -> DataFrame:
     slots = common.stored(wrappers(pages))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [layout(page) if page else "" for page in batch.column("html").to_pylist()]
+            yield batch.append_column("layout", pa.array(found, pa.string()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[tuple[str, ...], frozenset[str]] = {}
             texts = []
             for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 key = tuple(own or ())
-                texts.append(extract(page, known.setdefault(key, frozenset(key))) if page else "")
+                texts.append(page_text(page, known.setdefault(key, frozenset(key))) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    # Spark broadcasts the hosts' slots only below its own size limit, and joins by sorting above it
-    return rows.join(slots, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = rows.mapInArrow(lay, "page_id long, url string, html string, host string, layout string")
+    # Spark broadcasts the layouts' slots only below its own size limit, and joins by sorting above it
+    return rows.join(slots, ["host", "layout"], "left").select("page_id", "url", "html", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,3 +288,20 @@ def test_wrapper_alignment():
 @pytest.mark.parametrize("page, text", [("", ""), ("plain", "plain"), ("<p>unclosed", "unclosed"), ("<!-- x", ""), ("<script>a", ""), ("< 3 <b", "< 3 <b"), ("a<br>b<i>c</i>d", "a bcd"), ("<p>&nbsp;x &eacute;&#x41;&#66;</p>", "x éAB")])
 def test_odd_markup(page, text):
     assert html_text.extract(page, frozenset(html_text.main_slots(html_text.pattern(page)))) == text
+
+
+def test_layouts_of_a_host(spark):
+    words = "Running text number {} goes on and on. " * 5
+    marked = [(i, _page(i, f"<article><p>{words.format(*[i] * 5)}</p></article>")) for i in range(20)]
+    other = [(i, _page(i, f"<h1>Title {i}</h1><div class='one'><p>{words.format(*[i] * 5)}</p></div><div class='two'><p>Rest {i}</p></div>")) for i in range(20, 24)]
+    third = [(30, _page(30, "<p>alone</p>"))]
+    for url in ("http://a.example/{}", None):
+        pages = [(i, url and url.format(i), html) for i, html in marked + other + third]
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert all(got[i] == words.format(*[i] * 5).strip() for i in range(20))
+        assert all(got[i] == f"Title {i} {words.format(*[i] * 5)}Rest {i}" for i in range(20, 24))
+        assert got[30] == "alone"
+
+
+def test_page_without_text_in_its_slots():
+    assert html_text.page_text("<div><p>own text</p></div>", frozenset(["html/body/p"])) == "own text"
