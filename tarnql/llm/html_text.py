@@ -14,8 +14,8 @@ Pages of a host have the same layout if all have text in a marked article, or if
 none has and the same element holds the most running text.  The finished wrapper
 of a layout decides which slots hold the main text: those of the article without
 boilerplate elements; where none is marked, all without boilerplate elements,
-slots of mostly links and texts that never change on a host.  Each page's slots
-then give its text; a page without text in them is decided by its own pattern.
+slots of mostly links and texts that are the same on more than half of the
+host's pages, two at least.  Each page's slots then give its text; a page without text in them is decided by its own pattern.
 
 Defined cases: null and empty html give the empty text.  Urls without a host
 share one wrapper.  Unclosed comments, scripts and elements end with the page.
@@ -59,8 +59,6 @@ HOLDERS = frozenset("html body div section".split())
 MARKED = "*"
 #: Elements nested deeper belong to the one at this depth.
 DEPTH = 64
-#: Pages of a host below which an unchanged text is no sign of a template.
-TEMPLATE_PAGES = 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -177,7 +175,7 @@ class Node:
 
     def __init__(self, label: str):
         self.label, self.optional, self.repeated = label, False, False
-        self.pages, self.chars, self.linked = 1, 0, 0
+        self.pages, self.chars, self.linked = 1, 0, 0  # pages: seen on so many, at least
         self.text: str | None = None  # a slot's text while it is the same on all pages
         self.children: list[Node] = []
 
@@ -194,25 +192,26 @@ class Node:
 
 def _same_element(a: Node, b: Node) -> None:
     """Takes ``b`` into ``a``, two elements of one page in a repeated group."""
-    _into(a, b)
+    _into(a, b, one_page=True)
     a.repeated = True
 
 
-def _into(a: Node, b: Node) -> None:
+def _into(a: Node, b: Node, one_page: bool = False) -> None:
+    a.pages = max(a.pages, b.pages) if one_page else a.pages + b.pages
     a.optional |= b.optional
     a.repeated |= b.repeated
     a.chars += b.chars
     a.linked += b.linked
     if a.text != b.text:
         a.text = None
-    a.children = _align(a.children, b.children)
+    a.children = _align(a.children, b.children, one_page)
 
 
-def _align(left: list[Node], right: list[Node]) -> list[Node]:
+def _align(left: list[Node], right: list[Node], one_page: bool) -> list[Node]:
     """One sequence for both: the longest common sequence of labels; what one side lacks is optional."""
     if [n.label for n in left] == [n.label for n in right]:
         for a, b in zip(left, right, strict=True):
-            _into(a, b)
+            _into(a, b, one_page)
         return left
     n, m = len(left), len(right)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -222,7 +221,7 @@ def _align(left: list[Node], right: list[Node]) -> list[Node]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and left[i].label == right[j].label:
-            _into(left[i], right[j])
+            _into(left[i], right[j], one_page)
             out.append(left[i])
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
@@ -274,7 +273,7 @@ def pattern(page: str) -> Node:
             slot.linked = len(words) if in_link else 0
             last = at[-1].children[-1] if at[-1].children else None
             if last is not None and last.label == "#":
-                _into(last, slot)
+                _into(last, slot, one_page=True)
             else:
                 at[-1].children.append(slot)
     for node in at[::-1]:
@@ -284,13 +283,40 @@ def pattern(page: str) -> Node:
 
 def merge(a: Node, b: Node) -> Node:
     """The wrapper of both wrappers' pages."""
-    _count(a, b)
     _into(a, b)
     return a
 
 
-def _count(a: Node, b: Node) -> None:
-    a.pages += b.pages
+def _by_path(wrapper: Node) -> dict[tuple[str, ...], list[Node]]:
+    """The slots at each path."""
+    found: dict[tuple[str, ...], list[Node]] = {}
+
+    def walk(node: Node, path: tuple[str, ...]) -> None:
+        for child in node.children:
+            if child.label == "#":
+                found.setdefault(path, []).append(child)
+            else:
+                walk(child, (*path, child.label))
+
+    walk(wrapper, ())
+    return found
+
+
+def template_paths(wrappers: list[Node]) -> set[tuple[str, ...]]:
+    """Paths whose texts are each the same on most pages of a host, given by its layouts' wrappers."""
+    seen: dict[tuple[str, ...], dict[str | None, int]] = {}
+    for wrapper in wrappers:
+        for path, slots in _by_path(wrapper).items():
+            # of slots with one text only the most frequent counts: they may lie on the same pages
+            own: dict[str | None, int] = {}
+            for n in slots:
+                text = None if n.repeated else n.text
+                own[text] = max(own.get(text, 0), n.pages)
+            texts = seen.setdefault(path, {})
+            for text, pages in own.items():
+                texts[text] = texts.get(text, 0) + pages
+    least = max(2, sum(w.pages for w in wrappers) // 2 + 1)
+    return {path for path, texts in seen.items() if None not in texts and min(texts.values()) >= least}
 
 
 def layout(page: str) -> str:
@@ -309,28 +335,15 @@ def layout(page: str) -> str:
     return "/".join(max(chars, key=lambda p: (chars[p], p), default=()))
 
 
-def main_slots(wrapper: Node) -> list[str]:
-    """The paths of the slots that hold the main text."""
-    slots: list[tuple[tuple[str, ...], Node]] = []
-
-    def walk(node: Node, path: tuple[str, ...]) -> None:
-        for child in node.children:
-            if child.label == "#":
-                slots.append((path, child))
-            else:
-                walk(child, (*path, child.label))
-
-    walk(wrapper, ())
-    by_path: dict[tuple[str, ...], list[Node]] = {}
-    for path, node in slots:
-        by_path.setdefault(path, []).append(node)
-
+def main_slots(wrapper: Node, template: set[tuple[str, ...]] | None = None) -> list[str]:
+    """The paths of the slots that hold the main text; ``template`` has those of the host's template texts."""
+    if template is None:
+        template = template_paths([wrapper])
+    by_path = _by_path(wrapper)
     good = {p: ns for p, ns in by_path.items() if not _is_skipped(p)}
     inside = {p: ns for p, ns in good.items() if any(map(_is_main, p))}
     if not any(n.chars for ns in inside.values() for n in ns):
-        # unchanged on many pages: the template's own words
-        if wrapper.pages >= TEMPLATE_PAGES:
-            good = {p: ns for p, ns in good.items() if not all(n.text is not None and not n.repeated for n in ns)} or good
+        good = {p: ns for p, ns in good.items() if p not in template} or good
         inside = {p: ns for p, ns in good.items() if sum(n.linked for n in ns) <= 0.5 * sum(n.chars for n in ns)}
     return ["/".join(p) for p in inside]
 
@@ -361,7 +374,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, layout, slots): the main-text slots of each host's layouts, from all their pages.
 
     Tasks infer their own pages' wrappers first; a layout's wrappers, one for
-    each task at most, then meet.
+    each task at most, then meet; the host's template texts come from all of them.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,19 +388,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "layout", "wrapper"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, wrapper = None, None
+        name, layouts = None, {}
         out: list[tuple[str, str, list[str]]] = []
+
+        def end() -> None:
+            template = template_paths(list(layouts.values()))
+            out.extend((name, x, main_slots(w, template)) for x, w in layouts.items())
+
         for batch in batches:
-            for *new_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h != name:
+                    end()
+                    name, layouts = h, {}
                 new = Node.unpack(json.loads(text))
-                if new_key == key:
-                    wrapper = merge(wrapper, new)
-                else:
-                    if wrapper is not None:
-                        out.append((*key, main_slots(wrapper)))
-                    key, wrapper = new_key, new
-        if wrapper is not None:
-            out.append((*key, main_slots(wrapper)))
+                layouts[x] = merge(layouts[x], new) if x in layouts else new
+        end()
         yield pa.RecordBatch.from_arrays(
             [pa.array([h for h, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.string()), pa.array([s for _, _, s in out], pa.list_(pa.string()))], names=["host", "layout", "slots"]
         )

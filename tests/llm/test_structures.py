@@ -305,3 +305,20 @@ def test_layouts_of_a_host(spark):
 
 def test_page_without_text_in_its_slots():
     assert html_text.page_text("<div><p>own text</p></div>", frozenset(["html/body/p"])) == "own text"
+
+
+@pytest.mark.parametrize("n", [2, 7, 8, 20])
+def test_text_seen_once_is_no_template(n):
+    pages = [f"<div class='top'>Our site</div><p>Text {i} goes on.</p>" + (f"<blockquote>Only here</blockquote><div class='only-{'abcd'[i]}'>Mine</div>" if i < 1 else "") for i in range(n)]
+    wrapper = html_text.pattern(pages[0])
+    for page in pages[1:]:
+        wrapper = html_text.merge(wrapper, html_text.pattern(page))
+    slots = frozenset(html_text.main_slots(wrapper))
+    assert html_text.extract(pages[0], slots) == "Text 0 goes on. Only here Mine"
+    assert html_text.extract(pages[1], slots) == "Text 1 goes on."
+
+
+def test_template_text_of_all_layouts():
+    wrappers = [html_text.pattern(f"<div class='top'>Our site</div><{tag}>x {i}</{tag}>") for i, tag in enumerate(("p", "h2", "pre"))]
+    assert html_text.template_paths(wrappers) == {("div.top",)}
+    assert html_text.template_paths(wrappers[:1]) == set()
