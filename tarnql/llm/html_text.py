@@ -24,6 +24,7 @@ Repeated rows are extracted each.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -176,7 +177,7 @@ class Node:
     def __init__(self, label: str):
         self.label, self.optional, self.repeated = label, False, False
         self.pages, self.chars, self.linked = 1, 0, 0  # pages: seen on so many, at least
-        self.text: str | None = None  # a slot's text while it is the same on all pages
+        self.text: str | None = None  # a slot's mark while its text is the same on all pages
         self.children: list[Node] = []
 
     def pack(self) -> list:
@@ -249,6 +250,11 @@ def _fold(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
+def _mark(words: str) -> str:
+    """Stands for a text when texts are compared: itself if it is short, or its digest."""
+    return words if len(words) <= 80 else "#" + hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def pattern(page: str) -> Node:
     """One page's wrapper."""
     root = Node("")
@@ -269,11 +275,13 @@ def pattern(page: str) -> Node:
             labels = path
         if text and (words := " ".join(text.split())):
             slot = Node("#")
-            slot.chars, slot.text = len(words), words[:80]
+            slot.chars, slot.text = len(words), _mark(words)
             slot.linked = len(words) if in_link else 0
             last = at[-1].children[-1] if at[-1].children else None
             if last is not None and last.label == "#":
+                whole = _mark(f"{last.text} {slot.text}")
                 _into(last, slot, one_page=True)
+                last.text = whole
             else:
                 at[-1].children.append(slot)
     for node in at[::-1]:

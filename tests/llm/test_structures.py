@@ -322,3 +322,12 @@ def test_template_text_of_all_layouts():
     wrappers = [html_text.pattern(f"<div class='top'>Our site</div><{tag}>x {i}</{tag}>") for i, tag in enumerate(("p", "h2", "pre"))]
     assert html_text.template_paths(wrappers) == {("div.top",)}
     assert html_text.template_paths(wrappers[:1]) == set()
+
+
+def test_texts_with_one_beginning_differ():
+    lead = "BERLIN, Monday. " * 6
+    pages = [f"<div class='top'>{lead}</div><p>{lead}then {i}</p><p class='b'>x <b>{lead}</b> y {i}</p>" for i in range(9)]
+    wrapper = html_text.pattern(pages[0])
+    for page in pages[1:]:
+        wrapper = html_text.merge(wrapper, html_text.pattern(page))
+    assert html_text.extract(pages[3], frozenset(html_text.main_slots(wrapper))) == f"{lead}then 3 x {lead}y 3"
