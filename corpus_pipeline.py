@@ -6,8 +6,9 @@ the columns of docs.  Columns besides doc_id and text pass through unread; the
 stages' own columns get names that docs doesn't have.
 
 Nulls: a null text is scored, labelled and packed as an empty one (its language
-is ``und``, so the second stage drops it).  Documents without an id can't be
-told apart by others, so the third and fourth stage keep them.
+is ``und``, so the second stage drops it).  Rows with the same id are one
+document; a row without an id is one by itself, and the third and fourth stage
+judge it like any other.
 """
 
 from __future__ import annotations
@@ -42,23 +43,57 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col(label) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(label, score)
 
 
+def _keyed(docs: DataFrame, key: str) -> tuple[DataFrame, F.Column]:
+    """The rows with their documents' keys, and whether a ``doc_id`` is a key of a row without an id.
+
+    The key is the id; rows without one are stored with places of their own,
+    which lie above the largest id, or below the smallest if there is no room.
+    """
+    ids = F.col("doc_id").cast("long")
+    least, most, n_null = docs.agg(F.min(ids), F.max(ids), F.count_if(ids.isNull())).first()
+    if not n_null:
+        return docs.withColumn(key, ids), F.lit(False)
+    place, part, start = (_fresh(docs, name) for name in ("place", "part", "start"))
+    docs = common.stored(docs.withColumn(place, F.monotonically_increasing_id()))
+    # places without the gaps between partitions
+    within = F.col(place).bitwiseAND(2**33 - 1)
+    sizes = docs.filter(ids.isNull()).groupBy(F.shiftright(place, 33).alias(part)).agg((F.max(within) + 1).alias("size")).collect()
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r[part], total))
+        total += r["size"]
+    least, most = (0, -1) if most is None else (least, most)
+    if most + total < 2**63:
+        number = F.lit(most + 1) + F.col(start) + within
+    elif least - total >= -(2**63):
+        number = F.lit(least - 1) - F.col(start) - within
+    else:
+        raise ValueError(f"no room for {total} keys beside ids from {least} to {most}")
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, f"{part} long, {start} long"))
+    named = docs.withColumn(part, F.shiftright(place, 33)).join(starts, part, "left")
+    return named.withColumn(key, F.coalesce(ids, number)).drop(place, part, start), ~F.col("doc_id").between(least, most)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of links: the one with the smallest id.
+    """Keeps one document of each component of links: the one with the smallest id, or if none has an id any.
 
     Of rows that share an id, the first by their columns' hash stays.
     """
-    found = jaccard_join.jaccard_components(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    nth, order = _fresh(docs, "nth"), F.xxhash64(*docs.columns)
-    first = docs.join(kept, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).filter(F.col(nth) == 1).drop(nth)
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    key, nth, order = _fresh(docs, "row_key"), _fresh(docs, "nth"), F.xxhash64(*docs.columns)
+    rows, unnamed = _keyed(docs, key)
+    found = jaccard_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id")).alias("first")).select(F.col("first.doc_id").alias(key))
+    first = rows.join(kept, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(nth) == 1)
+    return first.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a window of a benchmark item."""
-    found = decontamination.search(decontamination.build_index(docs), common.read(spark, sf_dir, "benchmark"))
-    dirty = found.filter(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    key = _fresh(docs, "row_key")
+    rows, _ = _keyed(docs, key)
+    found = decontamination.search(decontamination.build_index(rows.select(F.col(key).alias("doc_id"), "text")), common.read(spark, sf_dir, "benchmark"))
+    dirty = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(dirty, key, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,15 @@ def test_pipeline_stages(spark, docs, labels, bench, tmp_path):
     assert 3 not in clean and 4 not in clean and {1, 2, 5, 6, 7, None} <= set(clean)
     assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()} >= {3, 4, 7}
     assert {r["doc_id"] for r in corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()} == {d[0] for d in DOCS}
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (2**63 - 1, 5), (None, None)])
+def test_pipeline_rows_without_an_id(spark, bench, tmp_path, ids):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["one text that several rows have in common", "a second text that stands alone in these rows"]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (None, texts[0]), (None, "a third text of two rows without an id"), (None, "a third text of two rows without an id"), (None, "it jumps over the lazy dog again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([*zip(ids, texts, strict=True), rows[4], rows[6]], key=str)
+    clean = [tuple(r) for r in corpus_pipeline.decontamination_stage(spark, df, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted(rows[:6], key=str)
