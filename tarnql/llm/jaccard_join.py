@@ -1,7 +1,9 @@
 """N-gram Jaccard join: a prefix-tree join over globally ordered shingle sets.
 
 A document's set has its distinct shingles of ``SHINGLE`` words.  Two documents
-link when 100 * intersection >= 75 * union.  All links are found:
+link when 100 * intersection >= 75 * union.  The components of these links are
+exact; the links are not listed, and in groups of more than ``LARGE`` sets those
+that would change no component are not all verified:
 
 1. Frequencies.  One pass over all texts counts shingles in a fixed number of
    hashed counters.  A shingle's place in the global order is its counter's
