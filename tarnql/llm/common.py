@@ -6,21 +6,33 @@ the words.  Bytes from 0x80 are never separators, so code points stay whole.
 
 Shared tables.  ``stored`` cuts a lineage by writing a Parquet table below
 ``spark.checkpoint.dir``, which all executors see; a lost executor then costs
-only its running tasks.
+only its running tasks.  ``dropped`` deletes such tables after their last
+reader.
+
+Memory.  Spark's Arrow batches are bounded by its own setting, which is left
+alone; ``slices`` cuts them to a few megabytes of text, whatever the rows hold.
+What a worker remembers from batch to batch is bounded in bytes, and a worker
+keeps the memory of one operator only (``remembered``).
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tarnql.sources.shared import shared_dir
 
-#: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of text that a worker takes at once, about; a longer text is taken alone.
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
+#: Bytes that one operator's memory of words takes in a worker, about, and those of an entry besides the word.
+MEMORY_BYTES, ENTRY_BYTES = 48 << 20, 160
 
 
 def _table(keep: Callable[[int], bool]) -> bytes:
@@ -60,25 +72,67 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | T.StructType) -> DataFrame:
-    """``fn`` turns each batch into named columns, one row or more or none for each of its rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    from pyspark.sql.pandas.types import to_arrow_schema
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, after their last reader.
 
-    arrow = to_arrow_schema(out)
+    Shuffle files of plans that nobody holds any more go with the driver's next
+    garbage collection, so one is asked for.
+    """
+    gc.collect()
+    for df in tables[:1]:
+        df.sparkSession._jvm.System.gc()
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = hadoop(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut by rows and by the bytes of a text column."""
+    for batch in batches:
+        if batch.num_rows <= SLICE_ROWS and batch.nbytes <= SLICE_BYTES:
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            most = (int(ends[at - 1]) if at else 0) + SLICE_BYTES
+            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, most, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+_memory: list = []
+
+
+def remembered(key: str, make: Callable[[], Any]) -> Any:
+    """What this worker remembers under the key; what it remembered under another key is let go first."""
+    if not _memory or _memory[0] != key:
+        _memory.clear()
+        pa.default_memory_pool().release_unused()
+        _memory.extend((key, make()))
+    return _memory[1]
+
+
+class Words(dict):
+    """Values by word, found once by ``find``; emptied when it takes more than ``most`` bytes, about."""
+
+    def __init__(self, find: Callable[[bytes], Any], most: int = MEMORY_BYTES):
+        super().__init__()
+        self.find, self.most, self.size = find, most, 0
+
+    def __missing__(self, word: bytes) -> Any:
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+        self.size += len(word) + ENTRY_BYTES
+        found = self[word] = self.find(word)
+        return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = fn(batch)
-            arrays = [pa.array(got[f.name], type=f.type, from_pandas=False) if not isinstance(got[f.name], (pa.Array, pa.ChunkedArray)) else got[f.name].cast(f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, out)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def with_columns(df: DataFrame, source: str, fn: Callable[[list], dict], new: str) -> DataFrame:
@@ -87,12 +141,17 @@ def with_columns(df: DataFrame, source: str, fn: Callable[[list], dict], new: st
     All rows and columns pass through one Arrow stage: no shuffle and no join.
     A column that has a new one's name is replaced.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     fresh = T._parse_datatype_string(new)
     df = df.drop(*(set(fresh.names) - {source}))
-    kept = df.columns
+    out = T.StructType(df.schema.fields + fresh.fields)
+    arrow, made, at = to_arrow_schema(out), to_arrow_schema(fresh), df.columns.index(source)
 
-    def each(batch: pa.RecordBatch) -> dict:
-        columns = {name: batch.column(i) for i, name in enumerate(kept)}
-        return columns | fn(texts(columns[source]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            got = fn(texts(batch.column(at)))
+            arrays = [c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(got[f.name], type=f.type, from_pandas=False) for f in made)], schema=arrow)
 
-    return arrow_map(df, each, T.StructType(df.schema.fields + fresh.fields))
+    return df.mapInArrow(run, out)

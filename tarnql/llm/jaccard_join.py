@@ -13,18 +13,23 @@ that would change no component are not all verified:
    of each.  Equal sets are one set from here on: copies in a task send one
    prefix.  Shingles that one set alone has in its prefix drop out in a
    streaming pass over each partition; no group is held in memory.
-3. Candidates.  Sets that share a prefix shingle are paired if their sizes
-   allow a link.  If more than ``LARGE`` sets share one, each is paired with
-   ``PIVOTS`` of them only; once links have joined most of such a group into one
-   component, a second round pairs what still lies in different components.
-   Pairs whose common prefix shingles are too few for a link are pruned.
-4. Trie.  A candidate set's partners, in the global order, form a prefix tree,
-   stored as sorted sequences: the shared beginning of two neighbours is the
-   path that they share.  The traversal computes the overlap with the candidate
-   once for each shared path, and leaves a subtree when the overlap so far and
-   the shorter remaining length can't reach a link.
-5. Components.  Links and copies give components by alternating star
-   contractions on tables in the shared folder; the driver sees counts only.
+3. Small groups.  Sets that share a prefix shingle are paired if their sizes
+   allow a link and their common prefix shingles are enough for one.
+4. Large groups: more than ``LARGE`` sets share the shingle, or its counter is so
+   high that they might be too many for a task; such shingles are not dealt out
+   by value at all.  Near copies have the same shingles, so a set takes part in
+   the groups of its first ``FIRST`` such shingles only.  There it meets
+   ``PIVOTS`` of the sets of its size.
+5. Tries.  Candidates are verified in blocks: some sets, in the global order,
+   form a prefix tree, stored as sorted sequences: the shared beginning of two
+   neighbours is the path that they share.  Another set walks through it.  The
+   traversal computes the overlap once for each shared path, and leaves a
+   subtree when the overlap so far and the shorter remaining length can't reach
+   a link.  A small group's set walks through the tree of its partners, a large
+   group's sets walk through the tree of the pivots.
+6. Components.  Links and copies give components by alternating star
+   contractions on tables in the shared folder; the driver sees counts only.  A
+   second round pairs what still lies in different components of a large group.
 
 Defined cases: null, empty and wordless texts have the empty set and link with
 nothing.  Texts of fewer words than a shingle have one shingle, the whole
@@ -38,9 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnql.llm import common
 
@@ -50,35 +57,29 @@ COUNTERS = 1 << 20
 #: Counters travel in so many parts, so that tasks share the summing.
 PARTS = 16
 #: Sets that may share a prefix shingle and still be paired each with each.
-LARGE = 256
-#: Sets that all sets of a larger group are paired with at first.
-PIVOTS = 24
+LARGE = 32
+#: Sets of a size that all others of a larger group meet at first, and groups of a set.
+PIVOTS, FIRST = 16, 3
+#: A counter is too high to deal its shingles out by value above so many times the mean, and above so many times ``LARGE``.
+HIGH_MEAN, HIGH_LARGE = 8, 64
+#: Tokens before a common one that tell whether it is the first.
+BEFORE = 4
+#: Sets of a large group in a block, about.
+WALKERS = 256
 #: Partners of one candidate in a task, about.
 PARTNERS = 64
 #: Bits of the filter that spares a shuffle of texts without candidates.
 FILTER_BITS = 1 << 23
-#: Distinct words whose hashes a worker remembers.
-MEMORY = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all the texts' shingles, one text after the other, and each text's number of them."""
     words = [common.blank_words(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((x for w in words for x in map(_hashes.__getitem__, w)), np.uint64, int(n.sum()))
+    hashes = common.remembered("shingles", lambda: common.Words(xxhash.xxh64_intdigest))
+    h = np.fromiter((x for w in words for x in map(hashes.__getitem__, w)), np.uint64, int(n.sum()))
     counts = np.where(n == 0, 0, np.maximum(1, n - k + 1))
     first = np.repeat(np.cumsum(n) - n, counts)
     at = first + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -116,19 +117,18 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in common.slices(batches, 0):
             h, _ = shingles(common.texts(batch.column(0)))
             total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[i * size : (i + 1) * size].astype("<u4").tobytes() for i in range(PARTS)], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_packed(total[i * size : (i + 1) * size]) for i in range(PARTS)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+                sums[part] = sums.get(part, 0) + _unpacked(counts, size)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_classes(x).tobytes() for x in sums.values()], pa.binary())], names=["part", "classes"])
 
-    _arrow(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, counts binary")
     found = rows.repartition(PARTS, "part").mapInArrow(add, "part int, classes binary").collect()  # one byte for each counter
     out = np.zeros(COUNTERS, np.uint8)
@@ -137,12 +137,24 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Numbers below 2^32, lowest bytes first and compressed: the high bytes are mostly zero."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _classes(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8)
 
 
-def _arrow(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+def high_class(classes: np.ndarray, most: int) -> int:
+    """The least class of counters that are too high to deal their shingles out by value."""
+    mean = float((np.exp2(classes / 8.0) - 1).mean())
+    return min(256, int(np.ceil(8 * np.log2(max(HIGH_MEAN * mean, HIGH_LARGE * most) + 1))))
 
 
 def _sets(texts: list[bytes | None], classes: np.ndarray) -> list[np.ndarray]:
@@ -156,7 +168,7 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             ids, n, keys, tokens = batch.column(0).to_pylist(), [], [], []
             for doc_id, s in zip(ids, _sets(common.texts(batch.column(1)), classes.value), strict=True):
                 key = _set_key(s)
@@ -169,25 +181,16 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
                     tokens.append(s[: prefix_length(len(s))].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
 
-    _arrow(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, tokens array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
-    """Consecutive rows with one first column."""
-    from itertools import groupby
-
-    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-    return groupby(rows, key=lambda r: r[0])
-
-
 def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
     """(a, b, na, nb, token, place) for each shared token, from (token, key, size) dealt and sorted by token, size and key.
 
     ``size`` has the set's size in its upper half and the token's place in the
-    set in its lower one.  ``token`` is null for a pair of a small group.  In a
-    large group, which is not held in memory, each set is paired with a few of
-    the first ones, and with itself to tell its token's place.
+    set in its lower one.  ``token`` is null for a pair of a small group.  A
+    large group is not held in memory; each of its sets gives a row with itself,
+    the token and its place.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("token", pa.int64()), ("place", pa.int32())])
 
@@ -205,9 +208,9 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
             right = left + 1 + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             pair(keys[left], keys[right], n[left], n[right])
 
-        def pair(a, b, na, nb, token=None) -> None:
+        def pair(a, b, na, nb) -> None:
             swap = a > b
-            add(np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), token, np.full(len(a), -1))
+            add(np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), None, None)
 
         def add(a, b, na, nb, token, place) -> None:
             nonlocal size
@@ -223,8 +226,8 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4], mask=cols[6]), pa.array(cols[5].astype(np.int32), mask=cols[6])], schema=schema)
 
-        # the open group: its token, its first rows, or its pivots if it has outgrown them
-        token, keys, ns, places, pivots, last = None, [], [], [], None, None
+        # the open group: its token, its rows until it has too many, and the key before
+        token, keys, ns, places, large, last = None, [], [], [], False, None
         for batch in batches:
             t, k, packed = (batch.column(i).to_numpy() for i in range(3))
             n, place = packed >> 32, packed & 0xFFFFFFFF
@@ -245,27 +248,22 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
                 if t[lo] != token:
                     if len(ns) and sum(map(len, ns)) > 1:
                         small(np.concatenate(keys), np.concatenate(ns))
-                    token, keys, ns, places, pivots, last = t[lo], [], [], [], None, None
+                    token, keys, ns, places, large, last = t[lo], [], [], [], False, None
                 kk, nn, pp = k[lo:hi], n[lo:hi], place[lo:hi]
                 fresh = np.concatenate([[last is None or kk[0] != last], kk[1:] != kk[:-1]])  # copies lie side by side
                 last = kk[-1]
                 kk, nn, pp = kk[fresh], nn[fresh], pp[fresh]
                 if not len(kk):
                     continue
-                if pivots is None and sum(map(len, ns)) + len(kk) > most:
+                if not large and sum(map(len, ns)) + len(kk) > most:
                     kk, nn, pp = np.concatenate([*keys, kk]), np.concatenate([*ns, nn]), np.concatenate([*places, pp])
-                    few = np.argsort(kk)[:PIVOTS]  # keys are hashes, so groups of the same sets have the same pivots
-                    pivots, keys, ns, places = (kk[few], nn[few]), [], [], []
-                if pivots is None:
+                    large, keys, ns, places = True, [], [], []
+                if large:
+                    add(kk, kk, nn, nn, token, pp)
+                else:
                     keys.append(kk)
                     ns.append(nn)
                     places.append(pp)
-                else:
-                    add(kk, kk, nn, nn, token, pp)
-                    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(pivots[0])), np.arange(len(kk))))
-                    a, na, b, nb = pivots[0][i], pivots[1][i], kk[j], nn[j]
-                    ok = (a != b) & (3 * na <= 4 * nb) & (3 * nb <= 4 * na)
-                    pair(a[ok], b[ok], na[ok], nb[ok], token)
             if size > 50_000:
                 yield flush()
         if len(ns) and sum(map(len, ns)) > 1:
@@ -273,7 +271,6 @@ def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
         if size:
             yield flush()
 
-    entries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     return entries.mapInArrow(run, "a long, b long, na int, nb int, token long, place int")
 
 
@@ -288,7 +285,7 @@ def _may_link(shared: F.Column) -> F.Column:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the wanted ids.
+    """``wanted`` with the text of its doc_id.
 
     A bitmap of fixed size, made of the ids' hashes, drops most other rows
     before the join deals texts out.
@@ -297,19 +294,31 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = wanted.select(bit("doc_id").alias("bit")).groupBy(F.shiftright("bit", 15).cast("int").alias("word")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bitmap"))
     byte = F.conv(F.hex(F.substring("bitmap", (F.expr("(bit % 32768) div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     near = docs.select("doc_id", "text").withColumn("bit", bit("doc_id")).withColumn("word", F.shiftright("bit", 15).cast("int")).join(F.broadcast(bits), "word").filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
-    return near.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return near.select("doc_id", "text").join(wanted, "doc_id")
+
 
+def ordered_sets(blocks: DataFrame, classes) -> DataFrame:
+    """Blocks (x, y, salt, in_trie, key, text) with the key's set in the global order, eight bytes a token, highest first."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def ordered_sets(docs: DataFrame, classes) -> DataFrame:
-    """(key, n, tokens): sets in the global order, eight bytes a token, highest first."""
+    out = T._parse_datatype_string("x long, y int, salt int, in_trie boolean, key long, tokens binary")
+    schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = _sets(common.texts(batch.column(1)), classes.value)
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.astype(">u8").tobytes() for s in sets], pa.binary())], names=["key", "n", "tokens"])
+        text, key, tokens = None, 0, b""
+        for batch in common.slices(batches, 5):
+            keys, sets = [], []
+            for t in common.texts(batch.column(5)):
+                if t != text:  # a text's blocks lie side by side
+                    (s,) = _sets([t], classes.value)
+                    text, key, tokens = t, _set_key(s), s.astype(">u8").tobytes()
+                keys.append(key)
+                sets.append(tokens)
+            # a document with several texts meets the keys of the others too
+            own = pc.equal(batch.column(4), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], schema=schema).filter(own)
 
-    _arrow(docs.sparkSession)
-    return docs.mapInArrow(run, "key long, n int, tokens binary")
+    return blocks.select("x", "y", "salt", "in_trie", "key", "text").mapInArrow(run, out)
 
 
 def trie_overlaps(own: np.ndarray, partners: list[np.ndarray]) -> list[bool]:
@@ -351,44 +360,50 @@ def trie_overlaps(own: np.ndarray, partners: list[np.ndarray]) -> list[bool]:
     return out
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the candidate pairs that link, by tries of bounded size."""
+def links(rows: DataFrame) -> DataFrame:
+    """(a, b) of the sets that link, from (x, y, salt, in_trie, key, tokens): each walker through the trie of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: np.ndarray | None = None
-        group, keys, partners = None, [], []
-
-        def flush() -> pa.RecordBatch | None:
-            if own is None or not keys:
-                return None
-            good = [k for k, ok in zip(keys, trie_overlaps(own, partners), strict=True) if ok]
-            return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["a", "b"]) if good else None
-
-        for batch in batches:
-            for a, salt, is_own, b, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                if (a, salt) != group or len(keys) >= 4 * PARTNERS:
-                    if (got := flush()) is not None:
-                        yield got
-                    keys, partners = [], []
-                    if (a, salt) != group:
-                        group, own = (a, salt), None
+        block, keys, trie = None, [], []
+        for batch in common.slices(batches, 5):
+            one, two = [], []
+            for x, y, salt, in_trie, key, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if (x, y, salt) != block:
+                    block, keys, trie = (x, y, salt), [], []
                 s = np.frombuffer(tokens, ">u8").astype(np.uint64)
-                if is_own:
-                    own = s
+                if in_trie:
+                    keys.append(key)
+                    trie.append(s)
                 else:
-                    keys.append(b)
-                    partners.append(s)
-        if (got := flush()) is not None:
-            yield got
+                    linked = [k for k, ok in zip(keys, trie_overlaps(s, trie), strict=True) if ok and k != key]
+                    one += [min(key, k) for k in linked]
+                    two += [max(key, k) for k in linked]
+            if one:
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("x", "y", "salt").sortWithinPartitions("x", "y", "salt", F.desc("in_trie"), "tokens").mapInArrow(run, "a long, b long").distinct()
 
-    # a hot candidate's partners are dealt out; each part gets a copy of its set
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    salted = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    others = salted.select("a", "salt", F.lit(False).alias("is_own"), "b").join(sets.select(F.col("key").alias("b"), "tokens"), "b")
-    selves = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.select(F.col("key").alias("a"), "tokens"), "a")
-    rows = others.select("a", "salt", "is_own", "b", "tokens").unionByName(selves.select("a", "salt", F.lit(True).alias("is_own"), F.lit(0).cast("long").alias("b"), "tokens"))
-    _arrow(pairs.sparkSession)
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_own"), "tokens").mapInArrow(run, "a long, b long").distinct()
+
+def pair_blocks(pairs: DataFrame) -> DataFrame:
+    """Blocks of pairs: a walks through the trie of its partners, some of them in each block."""
+    # stored, so that Spark can split a hot a in the join
+    parts = common.stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")))
+    tries = pairs.join(parts, "a").select(F.col("a").alias("x"), F.lit(-1).alias("y"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("in_trie"), F.col("b").alias("key"))
+    walkers = parts.select(F.col("a").alias("x"), F.lit(-1).alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("in_trie"), F.col("a").alias("key"))
+    return tries.unionByName(walkers)
+
+
+def pivot_blocks(members: DataFrame) -> DataFrame:
+    """Blocks of large groups (token, key, n, place): sets of a size walk through the trie of the group's pivots of that size."""
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("place", "token"))
+    size = F.floor(F.log(F.col("n")) / np.log(4 / 3) + 1e-9).cast("int")
+    near = members.withColumn("nth", nth).filter(F.col("nth") <= FIRST).select(F.col("token").alias("x"), size.alias("y"), "key")
+    # keys are hashes, so groups of the same sets have mostly the same pivots; Spark limits the rows before it deals them out
+    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("x", "y").orderBy("key"))).filter(F.col("nth") <= PIVOTS).drop("nth")
+    parts = near.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / WALKERS).cast("int").alias("parts"))
+    tries = first.join(parts, ["x", "y"]).select("x", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("in_trie"), "key")
+    walkers = near.join(parts, ["x", "y"]).select("x", "y", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("in_trie"), "key")
+    return tries.unionByName(walkers)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -410,92 +425,100 @@ def components(edges: DataFrame) -> DataFrame:
         return joined.filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
     now = common.stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
     while True:
-        now = common.stored(small_star(large_star(now)))
-        # a star forest is a fixed point: no centre is itself a member of another star
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if tuple(new) == state:
-            break
-        state = tuple(new)
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        new = common.stored(small_star(large_star(now)))
+        # a star forest is a fixed point
+        changed = new.join(now, ["a", "b"], "left_anti").unionByName(now.join(new, ["a", "b"], "left_anti"))
+        done = changed.isEmpty()
+        common.dropped(now)
+        now = new
+        if done:
+            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def labelled(components: DataFrame) -> DataFrame:
+    """(key, label) of components' nodes, their smallest ones included."""
+    inner = components.select(F.col("node").alias("key"), F.col("component").alias("label"))
+    return inner.unionByName(components.select(F.col("component").alias("key"), F.col("component").alias("label"))).distinct()
 
 
 def jaccard_components(docs: DataFrame, most: int = LARGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = spark.sparkContext.broadcast(frequency_classes(rows))
-    table = common.stored(prefixes(rows, classes))
-    entries = table.filter("tokens is not null").select(F.posexplode("tokens").alias("place", "token"), "key", "n")
-    entries = entries.select("token", "key", (F.shiftleft("n", 32) + F.col("place")).alias("size"))
-    dealt = entries.repartition("token").sortWithinPartitions("token", "size", "key")
+    order = frequency_classes(rows)
+    high = high_class(order, most)
+    classes = docs.sparkSession.sparkContext.broadcast(order)  # one byte for each counter
+    full = common.stored(prefixes(rows, classes))
+    entries = full.filter("tokens is not null").select(F.posexplode("tokens").alias("place", "token"), "key", "n")
+    is_high = F.shiftrightunsigned("token", 56) >= high
+    dealt = entries.filter(~is_high).select("token", "key", (F.shiftleft("n", 32) + F.col("place")).alias("size")).repartition("token").sortWithinPartitions("token", "size", "key")
     found = common.stored(candidates(dealt, most).groupBy("a", "b", "token").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("place").alias("place"), F.count(F.lit(1)).alias("c")))
-    ids = table.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    ids = common.stored(ids)
-    small = F.sum(F.when(F.col("token").isNull(), F.col("c")).otherwise(0))
-    counted = found.filter("a != b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), small.alias("c"), F.sum("c").alias("with_pivots"))
-    # what a pivot and a set share of large groups' tokens is not all counted; the second round makes up for it
-    counted = counted.withColumn("kept", _may_link(F.col("with_pivots")))
-    first = common.stored(counted.filter("kept").select("a", "b"))
-    linked = _verified(rows, first, ids, classes)
-    edges = _by_doc(linked, ids)
-    stars = found.filter("token is not null")
-    if not stars.isEmpty():
-        linked = common.stored(linked)
-        second = common.stored(_second_round(stars, linked, counted))
-        edges = _by_doc(linked.unionByName(_verified(rows, second, ids, classes)), ids)
+    in_large = found.filter("token is not null").select("token", F.col("a").alias("key"), F.col("na").cast("long").alias("n"), "place")
+    members = in_large.unionByName(entries.filter(is_high).select("token", "key", "n", "place").distinct())
+    members = common.stored(members)
+    table = common.stored(full.select("doc_id", "n", "key"))
+    ids = common.stored(table.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    counted = found.filter("token is null").withColumn("kept", _may_link(F.col("c")))
+    del dealt, entries, in_large
+    common.dropped(full)
+    # what two sets share of large groups' tokens is not counted; the second round makes up for it
+    blocks = pair_blocks(counted.filter("kept").select("a", "b"))
+    large = not members.isEmpty()
+    if large:
+        blocks = blocks.unionByName(pivot_blocks(members))
     # a document with several texts joins their sets
-    texts = table.filter("doc_id is not null and n > 0").select("doc_id", "key").join(ids.withColumnRenamed("doc_id", "rep"), "key")
-    several = texts.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a != b")
-    several = texts.join(several.select("doc_id", "b"), "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b")
-    by_node = components(edges.unionByName(several))
-    reps = table.select("doc_id", "n", "key").join(ids.select("key", F.col("doc_id").alias("rep")), "key", "left")
-    alone = F.col("n") == 0
+    texts = table.filter("doc_id is not null and n > 0").select("doc_id", "key")
+    several = texts.groupBy("doc_id").agg(F.min("key").alias("b"), F.max("key").alias("most")).filter("b != most").select("doc_id", "b")
+    several = texts.join(several, "doc_id").filter("key != b").select(F.col("key").alias("a"), "b")
+    by_key = common.stored(labelled(components(_verified(rows, blocks, ids, classes).unionByName(several))))
+    if large:
+        second = _verified(rows, pair_blocks(common.stored(_second_round(members, by_key, counted))), ids, classes)
+        label = lambda c: second.join(by_key.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}")), c, "left").select("a", "b", F.coalesce(f"label_{c}", c).alias(c * 2))
+        between = label("a").join(label("b"), ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b"))
+        over = labelled(components(between)).select(F.col("key").alias("label"), F.col("label").alias("last"))
+        moved = by_key.join(over, "label", "left").select("key", F.coalesce("last", "label").alias("label"))
+        alone = over.join(by_key, F.col("key") == over["label"], "left_anti").select(F.col("label").alias("key"), F.col("last").alias("label"))
+        by_key = common.stored(moved.unionByName(alone))
+    named = by_key.join(ids, "key")
+    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("key", "component")
+    reps = ids.withColumnRenamed("doc_id", "rep").join(named, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
     return (
-        reps.withColumn("node", F.when(~alone, F.col("rep")))
-        .join(by_node, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "node", "doc_id")).alias("component_id"))
+        table.join(reps, "key", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
     )
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, ids: DataFrame, classes) -> DataFrame:
-    """(a, b) of the pairs of set keys that link."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = common.stored(ids.join(keys, "key", "left_semi").select("doc_id").distinct())
-    sets = common.stored(ordered_sets(_texts_of(rows, wanted), classes))
-    return common.stored(links(pairs, sets))
-
-
-def _by_doc(linked: DataFrame, ids: DataFrame) -> DataFrame:
-    one, two = ids.select(F.col("key").alias("a"), F.col("doc_id").alias("x")), ids.select(F.col("key").alias("b"), F.col("doc_id").alias("y"))
-    return linked.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+def _verified(rows: DataFrame, blocks: DataFrame, ids: DataFrame, classes) -> DataFrame:
+    """(a, b) of the set keys that link, of the blocks' candidates."""
+    wanted = common.stored(blocks.join(ids, "key"))
+    found = common.stored(links(ordered_sets(_texts_of(rows, wanted), classes)))
+    common.dropped(wanted)
+    return found
 
 
-def _second_round(stars: DataFrame, linked: DataFrame, counted: DataFrame) -> DataFrame:
+def _second_round(members: DataFrame, by_key: DataFrame, counted: DataFrame) -> DataFrame:
     """Pairs of large groups that the links so far leave in different components, and that may still link.
 
     The first common token of a linked pair leaves both sets enough of their
     rest for a link.  If it is a large group's token, the places of the token in
-    both sets tell.  If it is a small group's, the pair was counted before, and
+    both sets tell; where a token shortly before is common too, it is not the
+    first.  If it is a small group's, the pair was counted before, and
     was pruned only as its common large tokens were not; they are at most as
     many as either set has.
     """
-    members = stars.filter("a = b").select("token", F.col("b").alias("key"), F.col("nb").alias("n"), "place")
-    by_key = components(linked.select("a", "b")).withColumnRenamed("node", "key")
-    members = common.stored(members.join(by_key, "key", "left").withColumn("component", F.coalesce("component", "key")))
-    mixed = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("token")
-    left = members.join(mixed, "token")
+    before = F.collect_list("token").over(Window.partitionBy("key").orderBy("place").rowsBetween(-BEFORE, -1))
+    held = members.withColumn("before", before).join(by_key, "key", "left").select("token", "key", "n", "place", "before", F.coalesce("label", "key").alias("component"))
     # all but the largest component's sets meet those of other components
-    sizes = left.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
-    outside = left.join(main, "token").filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("component").alias("cp"))
-    met = outside.join(left, "token").filter("component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np and 3 * (n + np) <= 7 * (n - place) and 3 * (n + np) <= 7 * (np - pp)")
+    sizes = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("m")).filter("components > 1").select("token", F.col("m.component").alias("main"))
+    left = common.stored(held.join(main, "token"))
+    outside = left.filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("before").alias("bp"), F.col("component").alias("cp"))
+    met = outside.join(left, "token").filter("component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np and 3 * (n + np) <= 7 * (n - place) and 3 * (n + np) <= 7 * (np - pp) and not arrays_overlap(before, bp)")
     by_place = met.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
-    held = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
-    one, two = (held.select(F.col("key").alias(k), F.col("held").alias(f"held_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
-    before = counted.filter("not kept").join(one, "a").join(two, "b").filter("component_a != component_b")
-    by_count = before.filter(_may_link(F.col("c") + F.least("held_a", "held_b"))).select("a", "b")
+    many = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    one, two = (many.select(F.col("key").alias(k), F.col("held").alias(f"held_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
+    pruned = counted.filter("not kept").join(one, "a").join(two, "b").filter("component_a != component_b")
+    by_count = pruned.filter(_may_link(F.col("c") + F.least("held_a", "held_b"))).select("a", "b")
     return by_place.unionByName(by_count).distinct()
 
 

@@ -184,6 +184,31 @@ def test_components_against_all_pairs(spark, seed, large):
     assert got == want and len({c for _, c in want.values()}) < len(ids)
 
 
+def test_large_groups_at_the_default(spark):
+    """Over 256 sets share shingles: near copies on both sides of the threshold, and a passage of many short texts."""
+    rng = random.Random(11)
+    base, passage = _words(rng, 80, 10**6), _words(rng, 40, 10**6)
+    texts = []
+    for k in range(330):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            own[rng.randrange(len(own))] = f"e{k}x{rng.randrange(10**6)}"
+        texts.append(" ".join(own[: rng.choice([80, 80, 70, 60])]))
+    texts += [" ".join([*passage, *_words(rng, rng.choice([2, 6, 12, 25]), 10**6)]) for _ in range(300)]
+    ids = rng.sample(range(10_000), len(texts))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()} == _components(ids, texts)
+
+
+def test_high_counters(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HIGH_LARGE", 0)
+    monkeypatch.setattr(jaccard_join, "HIGH_MEAN", 0)
+    texts = _near_texts(4)
+    ids = random.Random(4).sample(range(1000), len(texts))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()} == _components(ids, texts)
+
+
 def test_trie_overlaps():
     rng = np.random.default_rng(5)
     for _ in range(60):
