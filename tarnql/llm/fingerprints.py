@@ -133,7 +133,6 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     for each range, meet in a small join.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -142,7 +141,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             own = seen[1] if seen is not None and seen[0] == text else signatures(text)
             seen = following, (own if following == text else signatures(following))
             out.append(_row(doc_id, text, own, following, seen[1]))
-            if len(out) >= common.BATCH_ROWS:
+            if len(out) >= common.SLICE_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
                 out = []
         if out:

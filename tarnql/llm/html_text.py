@@ -415,7 +415,6 @@ def wrappers(pages: DataFrame) -> DataFrame:
             [pa.array([h for h, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.string()), pa.array([s for _, _, s in out], pa.list_(pa.string()))], names=["host", "layout", "slots"]
         )
 
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(each, "host string, layout string, wrapper string")
     return found.repartition("host").sortWithinPartitions("host", "layout", "wrapper").mapInArrow(meet, "host string, layout string, slots array<string>")
 

@@ -8,7 +8,9 @@ serves code-switched text; a text's language is the label with the largest sum
 of these, its score that sum's share.
 
 The field is fitted on spans of at most ``MAX_TEXTS`` texts, joined to
-code-switched sequences.  Texts are then labelled whole.
+code-switched sequences.  Texts are then labelled whole; a text of more than
+``WINDOW_BYTES`` passes window by window, and the messages between windows carry
+its context over, so its length bounds no memory and changes no probability.
 
 Defined cases: null texts, texts without letters and everything where nothing
 could be learned get ``und`` with score 0.  Letters without words of the
@@ -19,6 +21,7 @@ language first in order.  Repeated rows are labelled each.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,10 +39,11 @@ SEQUENCES, SPAN_WORDS, SPANS = 1200, 15, 4
 LEXICON = 1000
 TABLE = 1 << 16
 EPOCHS, RATE, DECAY = 30, 0.3, 1e-4
-#: Words whose emission scores a worker remembers, and words that pass forward-backward at once.
-MEMORY, GROUP_WORDS = 300_000, 400_000
+#: Words that pass forward-backward at once, and bytes of a longer text's windows, about.
+GROUP_WORDS, WINDOW_BYTES = 100_000, 1 << 20
 
 _LETTER = re.compile(rb"[A-Za-z]")
+_SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -189,6 +193,42 @@ def _forward(scores: np.ndarray, lengths: np.ndarray, a: np.ndarray, start: np.n
     return out
 
 
+def window(scores: np.ndarray, transitions: np.ndarray, before: np.ndarray, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Messages through some words of one sequence.
+
+    Without ``after``, the words' forward messages and the one that they send
+    on; with the message from behind them, their label probabilities and the
+    message that they send back.
+    """
+    a = np.exp(transitions)
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    alpha, now = np.empty_like(e), before
+    for t in range(len(e)):
+        now = now * e[t]
+        alpha[t] = now = now / now.sum()
+        now = now @ a
+    if after is None:
+        return alpha, now / now.sum()
+    back = after
+    for t in range(len(e) - 1, -1, -1):
+        both = alpha[t] * back
+        alpha[t] = both / both.sum()
+        back = a @ (back * e[t])
+        back /= back.sum()
+    return alpha, back
+
+
+def cuts(text: bytes, most: int) -> list[tuple[int, int]]:
+    """Where the text is cut between words, into windows of about ``most`` bytes."""
+    out, at = [], 0
+    while at < len(text):
+        found = _SEPARATOR.search(text, at + most)
+        to = found.start() if found else len(text)
+        out.append((at, to))
+        at = to
+    return out
+
+
 class Labeller:
     """Labels words; remembers each word's emission scores."""
 
@@ -198,6 +238,7 @@ class Labeller:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.size = 0
         self.table = np.zeros((0, len(self.model["names"]) if self.model else 0))
 
     def _learn(self, words: list[bytes]) -> None:
@@ -206,25 +247,54 @@ class Labeller:
         feature = np.array([f for fs in per_word for f in fs], np.int64)
         for w in words:
             self.known[w] = len(self.known)
+        self.size += sum(map(len, words)) + common.ENTRY_BYTES * len(words)
         self.table = np.concatenate([self.table, _sums(owner, self.model["weights"][feature], len(words))])
 
-    def probabilities(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        """Each word's label probabilities, text by text."""
-        if len(self.known) > MEMORY:
+    def _emissions(self, words: list[list[bytes]]) -> np.ndarray:
+        if self.size > common.MEMORY_BYTES:
             self._clear()
         known = self.known
         if new := sorted({w for ws in words for w in ws if w not in known}):
             self._learn(new)
+        return self.table[np.array([known[w] for ws in words for w in ws], np.int64)]
+
+    def probabilities(self, words: list[list[bytes]]) -> list[np.ndarray]:
+        """Each word's label probabilities, text by text."""
         lengths = np.array([len(ws) for ws in words], np.int64)
-        scores = self.table[np.array([known[w] for ws in words for w in ws], np.int64)]
-        p = forward_backward(scores, lengths[lengths > 0], self.model["transitions"], self.model["start"])
+        p = forward_backward(self._emissions(words), lengths[lengths > 0], self.model["transitions"], self.model["start"])
         return np.split(p, np.cumsum(lengths)[:-1]) if len(words) else []
 
+    def windows(self, text: bytes, most: int | None = None) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """The words and probabilities of a long text's windows, last one first."""
+        places = cuts(text, most or WINDOW_BYTES)
+        before = [np.exp(self.model["start"])]
+        for x, y in places[:-1]:
+            words = common.alnum_words(text[x:y])
+            before.append(window(self._emissions([words]), self.model["transitions"], before[-1])[1] if words else before[-1])
+        after = np.ones(len(self.model["names"]))
+        for (x, y), message in zip(places[::-1], before[::-1], strict=True):
+            if words := common.alnum_words(text[x:y]):
+                p, after = window(self._emissions([words]), self.model["transitions"], message, after)
+                yield words, p
+
     def __call__(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray | None]]:
         """Each text's words and their probabilities; None where there is nothing to label."""
+        for parts in self.parts(texts):
+            parts = parts[::-1] if isinstance(parts, list) else list(parts)[::-1]
+            got = [p for _, p in parts if p is not None]
+            yield [w for ws, _ in parts for w in ws], np.concatenate(got) if got else None
+
+    def parts(self, texts: list[bytes | None]) -> Iterator[Iterator[tuple[list[bytes], np.ndarray | None]]]:
+        """Each text's windows, last one first; most texts are one."""
         group: list[list[bytes]] = []
         size = 0
         for text in texts:
+            long = text is not None and len(text) > WINDOW_BYTES
+            if long and self.model and has_letter(text):
+                yield from self._flush(group)
+                yield self.windows(text)
+                group, size = [], 0
+                continue
             own = common.alnum_words(text) if self.model and has_letter(text) else []
             group.append(own)
             size += len(own)
@@ -233,12 +303,12 @@ class Labeller:
                 group, size = [], 0
         yield from self._flush(group)
 
-    def _flush(self, group: list[list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarray | None]]:
+    def _flush(self, group: list[list[bytes]]) -> Iterator[list[tuple[list[bytes], np.ndarray | None]]]:
         if not any(group):
-            yield from ((ws, None) for ws in group)
+            yield from ([(ws, None)] for ws in group)
             return
         for ws, p in zip(group, self.probabilities(group), strict=True):
-            yield ws, p if len(ws) else None
+            yield [(ws, p if len(ws) else None)]
 
 
 def held_out() -> F.Column:
@@ -266,29 +336,20 @@ def train(docs: DataFrame, most: int = MAX_TEXTS) -> dict | None:
     return fit([bytes(r["text"]) for r in rows], [r["lang"] for r in rows])
 
 
-_labellers: list[Labeller] = []
-
-
-def _labeller(model: dict | None) -> Labeller:
-    if not _labellers or _labellers[0].model is not model:
-        _labellers[:] = [Labeller(model)]
-    return _labellers[0]
-
-
 def identify(docs: DataFrame, model: dict | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """All rows and columns of ``docs``, with the language of ``text`` and its score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def each(texts: list[bytes | None]) -> dict:
         labels, scores = [], []
-        for _, p in _labeller(shared.value)(texts):
-            if p is None:
-                labels.append("und")
-                scores.append(0.0)
-            else:
-                share = p.mean(axis=0)
-                labels.append(shared.value["names"][int(share.argmax())])
-                scores.append(float(min(1.0, share.max())))
+        for parts in common.remembered(key, lambda: Labeller(shared.value)).parts(texts):
+            sums, n = 0.0, 0
+            for ws, p in parts:
+                if p is not None:
+                    sums, n = sums + p.sum(axis=0), n + len(ws)
+            share = sums / n if n else None
+            labels.append("und" if share is None else shared.value["names"][int(share.argmax())])
+            scores.append(0.0 if share is None else float(min(1.0, share.max())))
         return {label: labels, score: scores}
 
     return common.with_columns(docs, "text", each, f"{label} string, {score} double")
@@ -296,11 +357,11 @@ def identify(docs: DataFrame, model: dict | None, label: str = "lang_pred", scor
 
 def label_words(docs: DataFrame, model: dict | None) -> DataFrame:
     """All rows and columns of ``docs``, with the words of ``text``, their languages and probabilities."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def each(texts: list[bytes | None]) -> dict:
         words, langs, probs = [], [], []
-        for ws, p in _labeller(shared.value)(texts):
+        for ws, p in common.remembered(key, lambda: Labeller(shared.value))(texts):
             words.append([w.decode("utf-8", "replace") for w in ws])
             langs.append([] if p is None else [shared.value["names"][i] for i in p.argmax(axis=1)])
             probs.append([] if p is None else p.max(axis=1).tolist())

@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ END_ID = 1
 BLOCK_ROWS = 10_000
 #: Characters whose unknown chunks are encoded together, about.
 TOGETHER = 1 << 20
-#: Chunks whose ids a worker remembers, and as many again that were last in use before those.
-MEMORY = 300_000
+#: Bytes that the chunks' ids which a worker remembers take, about, and as many again that were last in use before those.
+MEMORY = common.MEMORY_BYTES // 2
 #: Stands between chunks that are encoded together; texts with it, or with a
 #: control character that only str.split() takes as a blank, are encoded whole.
 MARK = "\x01"
@@ -63,6 +62,7 @@ class Encoder:
         self.whole_only = (*WHOLE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.chunks: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.size = 0
 
     def whole(self, text: str) -> bytes:
         return self._ids(self.tokenizer, text).tobytes()
@@ -82,14 +82,15 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.chunks) > MEMORY:
-            self.chunks, self.before = {}, self.chunks
+        if self.size > MEMORY:
+            self.chunks, self.before, self.size = {}, self.chunks, 0
         known, before = self.chunks, self.before
         cuts = [None if any(x in text for x in self.whole_only) else text.split() for text in texts]
         new = {c for cut in cuts if cut for c in cut if c not in known}
         if before:
             again = {c for c in new if c in before}
             known.update({c: before[c] for c in again})
+            self.size += sum(len(c) + len(before[c]) + common.ENTRY_BYTES for c in again)
             new -= again
         # below U+0300 no character composes with another, and each is lower-cased by itself
         odd = {c for c in new if not c.isascii() and max(c) >= "\u0300"}
@@ -98,7 +99,6 @@ class Encoder:
         for text, cut in zip(texts, cuts, strict=True):
             yield self.whole(text) if cut is None else b"".join(map(known.__getitem__, cut))
 
-
     def _learn(self, tokenizer, chunks: list[str], normal: Callable[[str], str]) -> None:
         if not chunks:
             return
@@ -106,14 +106,10 @@ class Encoder:
         ends, packed, at = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes(), 0
         for c, end in zip(chunks, [*ends, len(packed)], strict=True):
             self.chunks[c] = packed[at:end]
+            self.size += len(c) + end - at + common.ENTRY_BYTES
             at = end + 4
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: full windows, then what remains."""
     end = np.array([end_id], "<u4").tobytes()
@@ -121,8 +117,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        own = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in common.slices(batches, 1):
+            own = common.remembered(f"packing {tokenizer_path}", lambda: Encoder(tokenizer_path))
             out: list[tuple] = []
             every = own.encode([text or "" for text in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), every, strict=True):
@@ -131,7 +127,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 out += [(doc_id, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step]), n) for at in range(0, len(ids), step)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long")
 

@@ -11,8 +11,8 @@ with its similarity as weight.
 
 Defined cases: null and empty texts, and those of one byte, have no terms and
 get the labelled rows' mean.  Without labelled rows every score is 0.5.  Rows
-with equal ids are scored each by its own text.  Ties between neighbours go to
-the one first in the order of the sample.
+with equal ids are scored each by its own text.  Ties between neighbours (cosines
+equal in ``DIGITS`` decimal places) go to the one first in the order of the sample.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ RANK = 48
 NEIGHBOURS = 15
 #: Rows whose cosines are computed at once.
 BLOCK = 256
+#: Decimal places of a cosine; differences below them are rounding.
+DIGITS = 5
 #: Character classes: at most 64, so a pair has a 12-bit number.
 CLASSES = 64
 #: Terms for a share: a share of x is written as the first x * STEPS of them, STEP_COUNT times each.
@@ -97,6 +99,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Marks each row's k largest cosines; of equal ones the first."""
+    least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k, None]
+    above, equal = cosines > least, cosines == least
+    room = k - above.sum(axis=1, keepdims=True)
+    return above | (equal & (np.cumsum(equal, axis=1) <= room))
+
+
 def scores(model: dict | None, texts: list[bytes | None], neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Each text's vote for label 1, from 0 to 1."""
     if model is None:
@@ -105,11 +115,10 @@ def scores(model: dict | None, texts: list[bytes | None], neighbours: int = NEIG
     k = min(neighbours, len(model["labels"]))
     for at in range(0, len(texts), BLOCK):
         part = texts[at : at + BLOCK]
-        cosines = _unit(terms(part) @ model["projection"]) @ model["vectors"].T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64)
+        cosines = np.round(_unit(terms(part) @ model["projection"]) @ model["vectors"].T, DIGITS)
+        weight = np.where(nearest(cosines, k), np.maximum(cosines, 0), 0).astype(np.float64)
         total = weight.sum(axis=1)
-        vote = (weight * model["labels"][near]).sum(axis=1) / np.maximum(total, 1e-12)
+        vote = weight @ model["labels"] / np.maximum(total, 1e-12)
         has = np.array([t is not None and len(t) > 1 for t in part]) & (total > 0)
         out[at : at + BLOCK][has] = np.clip(vote[has], 0, 1)
     return out

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +26,6 @@ from tarnql.llm import common
 
 #: Stands for the blank before a word, in the public pieces; a fixed value.
 WORD_MARK = "▁"
-#: Pre-tokens whose counts a worker remembers.
-MEMORY = 400_000
-
 
 def zipf_scores(pieces: Iterable[str]) -> dict[str, float]:
     """Log probabilities of ranked pieces."""
@@ -50,6 +46,7 @@ class Counter:
             node[None] = score
         self.byte_score = min(scores.values(), default=0.0) - 10.0
         self.known: dict[str, int] = {}
+        self.size = 0  # bytes that the counts take, about
 
     def learn(self, words: Iterable[str]) -> None:
         """Counts of new pre-tokens, prefix by prefix in sorted order."""
@@ -79,19 +76,20 @@ class Counter:
                 best.append(top)
                 alive.append(nodes)
             self.known[word] = -best[len(word)][1]
+            self.size += len(word) + common.ENTRY_BYTES
             before = word
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Each text's tokens and pre-tokens."""
         known = self.known
-        if len(known) > MEMORY:
+        if self.size > common.MEMORY_BYTES:
             known.clear()
+            self.size = 0
         words = [[WORD_MARK + w for w in text.split()] if text else [] for text in texts]
         self.learn({w for ws in words for w in ws if w not in known})
         return [sum(map(known.__getitem__, ws)) for ws in words], [len(ws) for ws in words]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """Of the pieces of a public sentencepiece model, by rank; its control pieces are left out."""
     import sentencepiece
@@ -105,7 +103,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """All rows and columns of ``docs``, with n_tokens and n_pretokens of ``text``."""
 
     def each(texts: list[bytes | None]) -> dict:
-        own, tokens, words = counter(model_path), [], []
+        own, tokens, words = common.remembered(f"token_counts {model_path}", lambda: counter(model_path)), [], []
         part: list[str | None] = []
         size = 0
         for i, text in enumerate(texts):

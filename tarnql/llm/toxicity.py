@@ -2,9 +2,10 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector for all
 ordered thresholds.  A text's features are its distinct words and their
-beginnings.  The labels only say toxic or not; the grades of toxic training
-texts are terciles of their number of different words that mark toxicity:
-1 mild, 2 strong, 3 severe; 0 is clean.  The expected severity is the sum over
+beginnings.  The labels only say toxic or not, so no severity is learnt from
+people's judgement: the grades of toxic training texts are terciles of their
+number of different words that mark toxicity: 1 mild, 2 strong, 3 severe; 0 is
+clean.  The expected severity is the sum over
 k of P(grade > k).
 
 The model is fitted on at most ``MAX_LABELLED`` rows and keeps at most
@@ -18,6 +19,7 @@ clean.  Repeated rows are scored each.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -31,12 +33,10 @@ MAX_LABELLED = 6000
 MAX_FEATURES = 512
 #: Lengths of the beginnings, in bytes.
 PREFIXES = (3, 4, 5, 6)
-#: Least rows with a feature, and its least excess over the base rate in standard errors.
+#: Least rows with a feature (of few toxic rows a third, two at least), and its least excess over the base rate in standard errors.
 LEAST_ROWS, LEAST_Z = 16, 6.0
 GRADES = 4
 STEPS, RATE, DECAY = 500, 0.05, 1e-6
-#: Words whose weights a worker remembers.
-MEMORY = 500_000
 
 
 def features(word: bytes) -> list[bytes]:
@@ -58,8 +58,11 @@ def fit(texts: list[bytes], toxic: list[int]) -> dict | None:
         if t:
             with_toxic.update(own)
     base = y.mean()
-    z = {f: (with_toxic[f] - n * base) / np.sqrt(n * base * (1 - base)) for f, n in total.items() if n >= LEAST_ROWS}
-    names = sorted((f for f in z if z[f] >= LEAST_Z), key=lambda f: (-z[f], f))[:MAX_FEATURES]
+    least = min(LEAST_ROWS, max(2, int(y.sum()) // 3))
+    z = {f: (with_toxic[f] - n * base) / np.sqrt(n * base * (1 - base)) for f, n in total.items() if n >= least}
+    ranked = sorted(z, key=lambda f: (-z[f], f))
+    # of few toxic rows no feature may stand out so far; then those that stand out most serve
+    names = [f for f in ranked if z[f] >= LEAST_Z][:MAX_FEATURES] or [f for f in ranked if z[f] > 0 and z[f] == z[ranked[0]]][:MAX_FEATURES]
     if not names:
         return None
     column = {f: i for i, f in enumerate(names)}
@@ -70,7 +73,9 @@ def fit(texts: list[bytes], toxic: list[int]) -> dict | None:
             x[i, own] += 1
             hits[i] += bool(own)
     grade = np.where(y, 1 + np.searchsorted(np.quantile(hits[y], [1 / 3, 2 / 3]), hits), 0)
-    weights, thresholds = _fit_ordinal(x, grade)
+    # most texts have no marking word: equal rows are fitted once, with their number
+    rows, amounts = np.unique(np.hstack([x, grade[:, None]]), axis=0, return_counts=True)
+    weights, thresholds = _fit_ordinal(rows[:, :-1], rows[:, -1].astype(int), amounts)
     return {"weights": dict(zip(names, weights.tolist(), strict=True)), "thresholds": thresholds.tolist()}
 
 
@@ -78,10 +83,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _fit_ordinal(x: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Adam on the mean negative log likelihood; thresholds are a first one and positive gaps."""
-    n, m = x.shape
-    k = GRADES - 1
+def _fit_ordinal(x: np.ndarray, grade: np.ndarray, amounts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Adam on the mean negative log likelihood; thresholds are a first one and positive gaps.
+
+    ``amounts`` tells how many rows each row stands for.
+    """
+    m, k = x.shape[1], GRADES - 1
+    amounts = np.ones(len(x)) if amounts is None else amounts
+    n = amounts.sum()
     p = np.zeros(m + k)
     p[m] = 1.0
     first, second = np.zeros_like(p), np.zeros_like(p)
@@ -93,7 +102,7 @@ def _fit_ordinal(x: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarr
         high = np.where(grade < k, cut[np.minimum(grade, k - 1)], np.inf)
         below, above = _sigmoid(low - s), _sigmoid(high - s)
         like = np.maximum(above - below, 1e-12)
-        d_high, d_low = above * (1 - above) / like, below * (1 - below) / like
+        d_high, d_low = amounts * above * (1 - above) / like, amounts * below * (1 - below) / like
         d_cut = np.bincount(np.minimum(grade, k - 1)[grade < k], -d_high[grade < k], k) + np.bincount(np.maximum(grade - 1, 0)[grade > 0], d_low[grade > 0], k)
         grad = np.empty_like(p)
         grad[:m] = x.T @ (d_high - d_low) / n + DECAY * p[:m]
@@ -110,12 +119,8 @@ class Scorer:
 
     def __init__(self, model: dict | None):
         self.model = model
-        self.known: dict[bytes, float] = {}
-
-    def _weight(self, word: bytes) -> float:
-        get = self.model["weights"].get
-        found = self.known[word] = sum(get(f, 0.0) for f in features(word))
-        return found
+        get = model["weights"].get if model else None
+        self.known = common.Words(lambda word: sum(get(f, 0.0) for f in features(word)))
 
     def __call__(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         n = len(texts)
@@ -124,13 +129,7 @@ class Scorer:
             return {"above": np.zeros((n, GRADES - 1))}
         known = self.known
         for i, text in enumerate(texts):
-            if len(known) > MEMORY:
-                known.clear()
-            total = 0.0
-            for w in sorted(set(common.alnum_words(text))):
-                got = known.get(w)
-                total += self._weight(w) if got is None else got
-            s[i] = total
+            s[i] = sum(map(known.__getitem__, sorted(set(common.alnum_words(text)))))
         return {"above": _sigmoid(s[:, None] - np.array(self.model["thresholds"]))}
 
 
@@ -152,19 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, where: F
     return fit([bytes(r["text"]) for r in rows], [r["toxic"] for r in rows]) if rows else None
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def severity(docs: DataFrame, model: dict | None) -> DataFrame:
     """All rows and columns of ``docs``, with expected_severity, severity and toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def each(texts: list[bytes | None]) -> dict:
-        scorer = _scorers.get(id(shared.value))
-        if scorer is None or scorer.model is not shared.value:
-            _scorers.clear()
-            scorer = _scorers[id(shared.value)] = Scorer(shared.value)
-        above = scorer(texts)["above"]
+        above = common.remembered(key, lambda: Scorer(shared.value))(texts)["above"]
         grades = -np.diff(np.hstack([np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))]), axis=1)
         return {
             "expected_severity": above.sum(axis=1),

@@ -76,6 +76,53 @@ def test_votes_against_brute_force():
     assert got[5] == got[6] == model["prior"]
 
 
+def test_ties_go_to_the_first():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        cosines, k = rng.integers(0, 4, size=(6, 12)) / 4, int(rng.integers(1, 13))
+        want = [sorted(range(12), key=lambda i: (-row[i], i))[:k] for row in cosines]
+        assert [sorted(w) for w in want] == [np.flatnonzero(m).tolist() for m in quality.nearest(cosines, k)]
+
+
+def test_long_text_in_windows():
+    texts = [b"the of and for was are thing erent " * 40, "le la les des ci\u00f3nie dans la mais ".encode() * 40, b"und der die das ein nicht sich auf " * 40]
+    own = language.Labeller(language.fit(texts * 3, ["en", "fr", "de"] * 3))
+    text = texts[0][:300] + texts[1][:400] + texts[2][:500]
+    ((words, p),) = list(own([text]))
+    parts = list(own.windows(text, 50))[::-1]
+    assert len(parts) > 10 and [w for ws, _ in parts for w in ws] == words and np.allclose(np.concatenate([q for _, q in parts]), p)
+
+
+def test_memory_is_bounded():
+    from tarnql.llm import common, packing
+
+    words = common.Words(len, most=10_000)
+    for i in range(5000):
+        assert words[b"w%d" % i] == len(b"w%d" % i) and words.size <= 10_000 + common.ENTRY_BYTES + 10
+    made = []
+    for key in ("a", "a", "b", "a"):
+        common.remembered(key, lambda key=key: made.append(key))
+    assert made == ["a", "b", "a"] and len(common._memory) == 2
+    own = packing.Encoder(packing.default_tokenizer())
+    for i in range(0, 600_000, 20_000):
+        list(own.encode([" ".join(f"x{j}" for j in range(i, i + 20_000))]))
+        assert own.size <= packing.MEMORY + 20_000 * 200
+    scored = toxicity.Scorer({"weights": {b"bad": 2.0}, "thresholds": [0.0, 1.0, 2.0]})
+    assert np.allclose(scored([b"bad day", None])["above"], toxicity._sigmoid(np.array([[2, 1, 0], [0, -1, -2]])))
+
+
+def test_small_slices():
+    import pyarrow as pa
+
+    from tarnql.llm import common
+
+    rng = np.random.default_rng(1)
+    texts = [None if rng.random() < 0.1 else "x" * int(rng.integers(0, 3_000_000) if rng.random() < 0.01 else rng.integers(0, 3000)) for _ in range(3500)]
+    parts = list(common.slices(iter([pa.RecordBatch.from_arrays([pa.array(range(3500)), pa.array(texts)], names=["i", "t"])]), 1))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.num_rows <= common.SLICE_ROWS and sum(len(t or "") for t in p.column(1).to_pylist()) <= common.SLICE_BYTES for p in parts)
+
+
 def test_toxicity_accuracy(docs, labels):
     from pyspark.sql import functions as F
 
