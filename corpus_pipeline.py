@@ -5,21 +5,25 @@ as Parquet and read again as the next stage's docs.  All but the last return
 the columns of docs.  Columns besides doc_id and text pass through unread; the
 stages' own columns get names that docs doesn't have.
 
+Every row is judged by itself: what it says, not which id it has.  The third and
+fourth stage know a text by its 64-bit hash, so rows that share an id, or have
+none, keep apart, and equal texts are searched once.
+
 Nulls: a null text is scored, labelled and packed as an empty one (its language
-is ``und``, so the second stage drops it).  Rows with the same id are one
-document; a row without an id is one by itself, and the third and fourth stage
-judge it like any other.
+is ``und``, so the second stage drops it).  Rows that are equal in all columns
+are copies of one another, and the third stage keeps one of them.  Texts without
+words have no copies: the third stage keeps them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnql.llm import common, decontamination, jaccard_join, language, packing, quality
 
 #: Least share of its best language below which a text is no text of any.
-LEAST_LANGUAGE = 0.3
+LEAST_LANGUAGE = 0.4
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -29,6 +33,10 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _text_key() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below 0.5."""
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
@@ -43,54 +51,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col(label) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(label, score)
 
 
-def _keyed(docs: DataFrame, key: str) -> tuple[DataFrame, F.Column]:
-    """The rows with their documents' keys, and whether a ``doc_id`` is a key of a row without an id.
-
-    The key is the id; rows without one are stored with places of their own,
-    which lie above the largest id, or below the smallest if there is no room.
-    """
-    ids = F.col("doc_id").cast("long")
-    least, most, n_null = docs.agg(F.min(ids), F.max(ids), F.count_if(ids.isNull())).first()
-    if not n_null:
-        return docs.withColumn(key, ids), F.lit(False)
-    place, part, start = (_fresh(docs, name) for name in ("place", "part", "start"))
-    docs = common.stored(docs.withColumn(place, F.monotonically_increasing_id()))
-    # places without the gaps between partitions
-    within = F.col(place).bitwiseAND(2**33 - 1)
-    sizes = docs.filter(ids.isNull()).groupBy(F.shiftright(place, 33).alias(part)).agg((F.max(within) + 1).alias("size")).collect()
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r[part], total))
-        total += r["size"]
-    least, most = (0, -1) if most is None else (least, most)
-    if most + total < 2**63:
-        number = F.lit(most + 1) + F.col(start) + within
-    elif least - total >= -(2**63):
-        number = F.lit(least - 1) - F.col(start) - within
-    else:
-        raise ValueError(f"no room for {total} keys beside ids from {least} to {most}")
-    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, f"{part} long, {start} long"))
-    named = docs.withColumn(part, F.shiftright(place, 33)).join(starts, part, "left")
-    return named.withColumn(key, F.coalesce(ids, number)).drop(place, part, start), ~F.col("doc_id").between(least, most)
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of links: the one with the smallest id, or if none has an id any.
+    """Keeps one row of each component of links: one with the smallest id, or if none has an id any.
 
-    Of rows that share an id, the first by their columns' hash stays.
+    Of several such rows, the first by their columns' hash stays.
     """
-    key, nth, order = _fresh(docs, "row_key"), _fresh(docs, "nth"), F.xxhash64(*docs.columns)
-    rows, unnamed = _keyed(docs, key)
+    key, row = _fresh(docs, "text_key"), _fresh(docs, "row_hash")
+    rows = docs.withColumn(key, _text_key()).withColumn(row, F.xxhash64(*docs.columns))
     found = jaccard_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
-    kept = found.groupBy("component_id").agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id")).alias("first")).select(F.col("first.doc_id").alias(key))
-    first = rows.join(kept, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(nth) == 1)
-    return first.select(*docs.columns)
+    groups = common.stored(found.filter("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    own = rows.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), F.col(row).alias("row")).join(groups, "key")
+    ranked = own.groupBy("component_id", "id", "row", "key").agg(F.count(F.lit(1)).alias("copies"))
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "key", "copies")).alias("f"))
+    kept = common.stored(first.select(F.col("f.key").alias(key), F.col("f.row").alias(row), F.col("f.copies").alias("copies")))
+    worded = rows.join(kept.filter("copies = 1").drop("copies"), [key, row], "left_semi")
+    # rows that are equal in all columns
+    repeated = rows.join(kept.filter("copies > 1").drop("copies"), [key, row], "left_semi").dropDuplicates([key, row])
+    wordless = rows.join(groups.select(F.col("key").alias(key)), key, "left_anti")
+    return worded.unionByName(repeated).unionByName(wordless).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a window of a benchmark item."""
-    key = _fresh(docs, "row_key")
-    rows, _ = _keyed(docs, key)
+    key = _fresh(docs, "text_key")
+    rows = docs.withColumn(key, _text_key())
     found = decontamination.search(decontamination.build_index(rows.select(F.col(key).alias("doc_id"), "text")), common.read(spark, sf_dir, "benchmark"))
     dirty = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias(key)).distinct()
     return rows.join(dirty, key, "left_anti").select(*docs.columns)
@@ -109,13 +93,15 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No SQL for trained classifiers and tokenizers; tests hold the stages against brute force.
+#: No SQL for trained classifiers and tokenizers; ``test_chain_against_brute_force`` holds the chain against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what passes between them is stored in the shared folder."""
     docs = common.read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir))
+        if k:
+            common.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
