@@ -17,7 +17,7 @@ words have no copies: the third stage keeps them all.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnql.llm import common, decontamination, jaccard_join, language, packing, quality
@@ -61,14 +61,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
     groups = common.stored(found.filter("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
     own = rows.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), F.col(row).alias("row")).join(groups, "key")
-    ranked = own.groupBy("component_id", "id", "row", "key").agg(F.count(F.lit(1)).alias("copies"))
-    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "key", "copies")).alias("f"))
-    kept = common.stored(first.select(F.col("f.key").alias(key), F.col("f.row").alias(row), F.col("f.copies").alias("copies")))
-    worded = rows.join(kept.filter("copies = 1").drop("copies"), [key, row], "left_semi")
-    # rows that are equal in all columns
-    repeated = rows.join(kept.filter("copies > 1").drop("copies"), [key, row], "left_semi").dropDuplicates([key, row])
-    wordless = rows.join(groups.select(F.col("key").alias(key)), key, "left_anti")
-    return worded.unionByName(repeated).unionByName(wordless).select(*docs.columns)
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "key")).alias("f"))
+    kept = common.stored(first.select(F.col("f.key").alias(key), F.col("f.row").alias(row)))
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    nth = _fresh(docs, "nth")
+    # rows that are equal in all columns have one key and hash
+    copies = Window.partitionBy(key, row).orderBy(row)
+    worded = rows.filter(~wordless).join(kept, [key, row]).withColumn(nth, F.row_number().over(copies)).filter(F.col(nth) == 1)
+    return worded.select(*docs.columns).unionByName(docs.filter(wordless))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
