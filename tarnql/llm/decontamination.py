@@ -11,8 +11,9 @@ the shared folder, where a lost executor doesn't take it away.
 window with an absent term is dropped at once.  For the others the list of the
 rarest term, moved back by its place in the window, gives the candidate starts;
 they are intersected with the lists of the other terms, rarest first, each
-moved by its own place.  With a slack, a term may lie that many words off its
-place: these are the proximity matches.
+moved by its own place.  A proximity match is an occurrence of the window's first
+term from which every other one has an occurrence in the same document at most
+``SLACK`` words off its place.
 
 The test items are taken in blocks of about ``BLOCK_BYTES`` of text; each block
 is broadcast and searched in every segment, so a large benchmark costs passes
@@ -40,7 +41,7 @@ from tarnql.llm import common
 WINDOW = 10
 #: Words by which a term of a proximity match may lie off its place.
 SLACK = 2
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
 #: Candidates that are intersected at once.
 CANDIDATES = 1 << 20
@@ -121,8 +122,8 @@ def windows(items: list[tuple[str, bytes | None]], length: int = WINDOW) -> dict
     return {"terms": list(vocabulary), "windows": np.array(rows, np.int64).reshape(-1, length), "owners": np.array(owners, np.int64), "names": names}
 
 
-def _occurrences(query: dict, terms: pa.Array, ends: np.ndarray, postings: np.ndarray, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, start) of each match in a segment, some at a time."""
+def _occurrences(query: dict, terms: pa.Array, ends: np.ndarray, postings: np.ndarray, starts: np.ndarray, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, start, document) of each match in a segment, some at a time."""
     rows = query["windows"]
     if not len(rows) or not len(terms):
         return
@@ -150,21 +151,26 @@ def _occurrences(query: dict, terms: pa.Array, ends: np.ndarray, postings: np.nd
         w = np.repeat(part, amount[part])
         first = np.repeat(begins[rarest[part]], amount[part])
         nth = np.arange(len(w)) - np.repeat(np.cumsum(amount[part]) - amount[part], amount[part])
+        doc = np.searchsorted(starts, postings[first + nth], side="right") - 1
         start = postings[first + nth] - order[w, 0]
-        ok = start >= 0
-        w, start = w[ok], start[ok]
-        for k in range(1, order.shape[1]):
+        if slack:  # the rarest term may be off its place too
+            w, doc = np.repeat(w, 2 * slack + 1), np.repeat(doc, 2 * slack + 1)
+            start = (start[:, None] + np.arange(-slack, slack + 1)).ravel()
+        for k in range(order.shape[1]):
             column = order[w, k]
             here = used[w, column]
-            goal = (term[w, column] << 32) + start + column
-            found = np.searchsorted(keys, goal - slack)
-            near = keys[np.minimum(found, len(keys) - 1)]
-            ok = ~here | ((near >= goal - slack) & (near <= goal + slack))
-            w, start = w[ok], start[ok]
+            goal = start + column
+            base = term[w, column] << 32
+            off = np.where(column == 0, 0, slack)
+            # a document's last word lies two positions before the next one's start
+            low, high = np.maximum(goal - off, starts[doc]), np.minimum(goal + off, starts[doc + 1] - 2)
+            near = keys[np.minimum(np.searchsorted(keys, base + low), len(keys) - 1)]
+            ok = ~here | ((near >= base + low) & (near <= base + high))
+            w, start, doc = w[ok], start[ok], doc[ok]
             if not len(w):
                 break
         if len(w):
-            yield alive[w], start
+            yield alive[w], start, doc
         at = to
 
 
@@ -183,8 +189,7 @@ def search_segment(query: dict, row: dict, slack: int = SLACK) -> dict:
     items: list[set[int]] = [set() for _ in range(n)]
     near: list[set[int]] = [set() for _ in range(n)]
     for into, allowed in ((items, 0), (near, slack)):
-        for w, start in _occurrences(query, terms, ends, postings, allowed):
-            doc = np.searchsorted(starts, start, side="right") - 1
+        for w, start, doc in _occurrences(query, terms, ends, postings, starts, allowed):
             if not allowed:
                 np.add.at(mark, start, 1)
                 np.add.at(mark, start + lengths[w], -1)
@@ -243,7 +248,25 @@ def report(found: DataFrame) -> DataFrame:
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(common.read(spark, sf_dir, "documents"))
-    return report(search(index, common.read(spark, sf_dir, "benchmark"))).drop("n_near_items")
+    return report(search(index, common.read(spark, sf_dir, "benchmark")))
+
+
+def brute_force_near(docs: list[tuple], benchmark: list[tuple], length: int = WINDOW, slack: int = SLACK) -> dict:
+    """doc_id -> ids of the items that match it nearly, start by start, for tests."""
+    out = {}
+    for doc_id, text in docs:
+        places: dict[bytes, list[int]] = {}
+        for p, w in enumerate(common.alnum_words(None if text is None else text.encode())):
+            places.setdefault(w, []).append(p)
+        found = set()
+        for item_id, item in benchmark:
+            ws = common.alnum_words(None if item is None else item.encode())
+            for i in range(max(1, len(ws) - length + 1) if ws else 0):
+                part = ws[i : i + length]
+                if any(all(any(abs(p - s - k) <= slack for p in places.get(t, [])) for k, t in enumerate(part) if k) for s in places.get(part[0], [])):
+                    found.add("" if item_id is None else str(item_id))
+        out[doc_id] = sorted(found)
+    return out
 
 
 def brute_force(docs: list[tuple], benchmark: list[tuple], length: int = WINDOW) -> dict:

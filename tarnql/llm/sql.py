@@ -18,9 +18,21 @@ dw as (
 ),
 m as (select distinct doc_id, pos, size, item_id from dw join bw on bw.win = dw.ws[dw.pos:dw.pos + dw.size - 1]),
 h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + size)) as p from m) group by doc_id),
-i as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from m) group by doc_id)
-select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join h on h.doc_id = d.doc_id left join i on i.doc_id = d.doc_id
+i as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from m) group by doc_id),
+places as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as p from d),
+numbered as (select row_number() over () as id, item_id, win from bw),
+wt as (select id, item_id, len(win) as size, unnest(win) as w, generate_subscripts(win, 1) as k from numbered),
+freq as (select w, count(*) as c from places group by w),
+rare as (select id, any_value(item_id) as item_id, any_value(size) as size, arg_min(k, c) as k, arg_min(wt.w, c) as w from wt join freq on freq.w = wt.w group by id having count(distinct k) = any_value(size)),
+cand as (select distinct doc_id, id, item_id, size, p - k + off as s from rare join places on places.w = rare.w, (select unnest(range(-2, 3)) as off)),
+near as (
+  select cand.doc_id, cand.id, cand.item_id, s from cand join wt on wt.id = cand.id
+  join places on places.doc_id = cand.doc_id and places.w = wt.w and places.p between s + wt.k - case when wt.k = 1 then 0 else 2 end and s + wt.k + case when wt.k = 1 then 0 else 2 end
+  group by cand.doc_id, cand.id, cand.item_id, s having count(distinct wt.k) = any_value(cand.size)
+),
+ni as (select doc_id, count(distinct item_id) as n_near_items from near group by doc_id)
+select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near_items, 0) as n_near_items
+from d left join h on h.doc_id = d.doc_id left join i on i.doc_id = d.doc_id left join ni on ni.doc_id = d.doc_id
 """
 
 JACCARD = rf"""
