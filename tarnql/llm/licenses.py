@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line.  Sparse word n-grams (one and two words) feed a
+A paragraph is a line; a line of more than ``WINDOW`` words is classified in
+windows that overlap by half, so that a statement counts as much in a long line
+as in a short one, and the line's surest known window speaks for it.  Sparse word n-grams (one and two words) feed a
 multinomial logistic regression over licence families and the class ``none``.
 Its temperature is calibrated on held-out variants, and so is the probability
 below which a paragraph counts as ``unknown``.  A prediction stands only if the
@@ -36,6 +38,8 @@ BUCKETS = 2048
 #: Least overlap of a paragraph's n-grams with a template's, in the smaller of the two.
 LEAST_SIMILARITY = 0.6
 VARIANTS = 24
+#: Words of a window, and from one window's beginning to the next.
+WINDOW, STEP = 48, 24
 #: What the calibration keeps: the share of held-out licence variants above the unknown threshold.
 KEEP = 0.98
 
@@ -147,9 +151,18 @@ def marks(name: str) -> list[str]:
     return sorted({g for t in TEMPLATES.get(name, []) for g in grams(t)} - others)
 
 
-def _grams(line: Column) -> Column:
+def _windows(line: Column) -> Column:
+    """The line's windows that have a gate word, as arrays of words."""
     lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
+    last = lambda ws: F.greatest(F.ceil((F.size(ws) - WINDOW) / STEP), F.lit(0)).cast("int")
+    cut = lambda ws: F.when(F.size(ws) <= WINDOW, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), last(ws)), lambda i: F.slice(ws, i * STEP + 1, WINDOW)))
+    # one lambda's argument is computed once
+    windows = F.flatten(F.transform(F.array(words), cut))
+    return F.filter(windows, lambda ws: F.array_join(ws, " ").rlike(GATE))
+
+
+def _grams(words: Column) -> Column:
     # neighbours: the array and itself moved on by one
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
@@ -229,7 +242,7 @@ def _numbers(x: np.ndarray) -> Column:
 
 
 def classify(line: Column, model: dict) -> Column:
-    """struct(family, probability, similarity) of a line."""
+    """struct(family, probability, similarity) of a line, from its surest window of a known family, or else of an unknown one."""
     names, k = model["names"], len(model["names"])
     weights, bias = _numbers(model["weights"]), _numbers(model["bias"])
     templates = F.from_json(F.lit(json.dumps([[grams(t) for t in TEMPLATES.get(name, [])] for name in names])), "array<array<array<string>>>")
@@ -247,10 +260,14 @@ def classify(line: Column, model: dict) -> Column:
         sure = (probability >= F.lit(model["threshold"])) & (similarity >= F.lit(LEAST_SIMILARITY)) & F.arrays_overlap(own, F.element_at(only, best))
         name = F.element_at(F.array(*map(F.lit, names)), best)
         family = F.when(name == NONE, NONE).when(sure, name).otherwise(UNKNOWN)
-        return F.struct(family.alias("family"), F.round(probability, 6).alias("probability"), F.round(similarity, 6).alias("similarity"))
+        rank = F.when(family == NONE, 0).when(family == UNKNOWN, 1).otherwise(2)
+        return F.struct(rank.alias("rank"), F.round(probability, 6).alias("probability"), F.round(similarity, 6).alias("similarity"), family.alias("family"))
 
     # one lambda's argument is computed once, where a column would be computed wherever it is named
-    return F.element_at(F.transform(F.array(_grams(line)), scored), 1)
+    best = F.array_max(F.transform(F.transform(_windows(line), _grams), scored))
+    none = F.struct(F.lit(NONE).alias("family"), F.lit(1.0).alias("probability"), F.lit(0.0).alias("similarity"))
+    pick = lambda b: F.when(b.isNull(), none).otherwise(F.struct(b["family"].alias("family"), b["probability"].alias("probability"), b["similarity"].alias("similarity")))
+    return F.element_at(F.transform(F.array(best), pick), 1)
 
 
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
