@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,12 @@ SCOPE = frozenset("article main section div ul ol dl table body html aside nav f
 HOLDERS = frozenset("html body div section".split())
 #: The layout of pages with text in a marked article.
 MARKED = "*"
-#: Elements nested deeper belong to the one at this depth.
+#: Elements nested deeper belong to the one at this depth; of them only those that make or end boilerplate or the main text tell a path.
 DEPTH = 64
+#: Rows of a table of alignments that are filled cell by cell; longer sequences are halved first.
+CELLS = 4096
+#: A host's wrappers meet in so many groups first.
+GROUPS = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -108,13 +113,26 @@ def _is_skipped(path: tuple[str, ...]) -> bool:
     return False
 
 
+def _short(labels: list[str]) -> tuple[str, ...]:
+    """The first ``DEPTH`` labels, and of the others the first one of each kind that tells main text or boilerplate."""
+    out, kinds = labels[:DEPTH], set()
+    for label in labels[DEPTH:]:
+        kind = _is_boilerplate(label), _is_main(label), label.split(".")[0] == "header"
+        if any(kind) and kind not in kinds:
+            kinds.add(kind)
+            out.append(label)
+    return tuple(out)
+
+
 def stream(page: str) -> Iterator[tuple[tuple[str, ...], str | None, bool]]:
     """(path, text, in a link) for each text, and (path, None, False) at each block's edge."""
     open_: list[tuple[str, str]] = []  # (tag, label) of open elements
     links = at = 0
 
     def path() -> tuple[str, ...]:
-        return tuple(label for tag, label in open_[: 4 * DEPTH] if tag not in INLINE or "." in label)[:DEPTH]
+        if len(open_) <= DEPTH:
+            return tuple(label for tag, label in open_ if tag not in INLINE or "." in label)
+        return _short([label for tag, label in open_ if tag not in INLINE or "." in label])
 
     now = path()
     end = len(page)
@@ -214,28 +232,78 @@ def _align(left: list[Node], right: list[Node], one_page: bool) -> list[Node]:
         for a, b in zip(left, right, strict=True):
             _into(a, b, one_page)
         return left
-    n, m = len(left), len(right)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i].label == right[j].label else max(best[i + 1][j], best[i][j + 1])
+    pairs = common_labels([x.label for x in left], [x.label for x in right])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and left[i].label == right[j].label:
-            _into(left[i], right[j], one_page)
-            out.append(left[i])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            left[i].optional = True
-            out.append(left[i])
-            i += 1
-        else:
-            right[j].optional = True
-            out.append(right[j])
-            j += 1
+    for x, y in [*pairs, (len(left), len(right))]:
+        for node in (*left[i:x], *right[j:y]):
+            node.optional = True
+            out.append(node)
+        if x < len(left):
+            _into(left[x], right[y], one_page)
+            out.append(left[x])
+        i, j = x + 1, y + 1
     return _fold(out)
 
 
+def common_labels(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common sequence, in memory linear in the lengths.
+
+    Ends that agree are taken off; what remains is halved where a longest
+    sequence passes the middle, until the table of lengths is small.
+    """
+    a = b = 0
+    while a < min(len(left), len(right)) and left[a] == right[a]:
+        a += 1
+    while b < min(len(left), len(right)) - a and left[-1 - b] == right[-1 - b]:
+        b += 1
+    names = {x: k for k, x in enumerate(dict.fromkeys(left))}
+    one = np.array([names[x] for x in left[a : len(left) - b]], np.int64)
+    two = np.array([names.get(x, -1) for x in right[a : len(right) - b]], np.int64)
+    inner, todo = [], [(0, len(one), 0, len(two))]
+    while todo:
+        i, n, j, m = todo.pop()
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= CELLS or n - i == 1:
+            inner += _common_small(one, two, i, n, j, m)
+            continue
+        mid = (i + n) // 2
+        total = _common_lengths(one[i:mid], two[j:m]) + _common_lengths(one[mid:n][::-1], two[j:m][::-1])[::-1]
+        cut = j + int(total.argmax())
+        todo += [(i, mid, j, cut), (mid, n, cut, m)]
+    return [*((k, k) for k in range(a)), *((a + i, a + j) for i, j in sorted(inner)), *((len(left) - k, len(right) - k) for k in range(b, 0, -1))]
+
+
+def _common_lengths(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common sequences of ``one`` and each beginning of ``two``, row by row."""
+    row = np.zeros(len(two) + 1, np.int32)
+    for x in one:
+        row[1:] = np.maximum(row[1:], row[:-1] + (two == x))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _common_small(one: np.ndarray, two: np.ndarray, i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    if n - i == 1:
+        at = np.flatnonzero(two[j:m] == one[i])
+        return [(i, j + int(at[0]))] if len(at) else []
+    left, right = one[i:n].tolist(), two[j:m].tolist()
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for x in range(len(left) - 1, -1, -1):
+        for y in range(len(right) - 1, -1, -1):
+            best[x][y] = best[x + 1][y + 1] + 1 if left[x] == right[y] else max(best[x + 1][y], best[x][y + 1])
+    out, x, y = [], 0, 0
+    while x < len(left) and y < len(right):
+        if left[x] == right[y]:
+            out.append((i + x, j + y))
+            x, y = x + 1, y + 1
+        elif best[x + 1][y] >= best[x][y + 1]:
+            x += 1
+        else:
+            y += 1
+    return out
+
+
 def _fold(nodes: list[Node]) -> list[Node]:
     """Neighbouring groups of one to four elements with the same labels become one repeated group."""
     for width in (1, 2, 3, 4):
@@ -387,7 +455,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[str, str], Node] = {}
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
                     key, new = (name, layout(page)), pattern(page)
@@ -395,6 +463,24 @@ def wrappers(pages: DataFrame) -> DataFrame:
         columns = [[h for h, _ in own], [x for _, x in own], [json.dumps(w.pack()) for w in own.values()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "layout", "wrapper"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, wrapper = None, None
+        for batch in batches:
+            out = []
+            for h, x, text in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "wrapper")), strict=True):
+                new = Node.unpack(json.loads(text))
+                if (h, x) == now:
+                    wrapper = merge(wrapper, new)
+                else:
+                    if now is not None:
+                        out.append((*now, json.dumps(wrapper.pack())))
+                    now, wrapper = (h, x), new
+            yield _rows(out)
+        yield _rows([] if now is None else [(*now, json.dumps(wrapper.pack()))])
+
+    def _rows(out: list[tuple[str, str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["host", "layout", "wrapper"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, layouts = None, {}
         out: list[tuple[str, str, list[str]]] = []
@@ -415,7 +501,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
             [pa.array([h for h, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.string()), pa.array([s for _, _, s in out], pa.list_(pa.string()))], names=["host", "layout", "slots"]
         )
 
-    found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(each, "host string, layout string, wrapper string")
+    kind = "host string, layout string, wrapper string"
+    found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(each, kind)
+    # a host's wrappers, one of a layout for each task, meet in groups first, so no task gathers those of all tasks
+    found = found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    found = found.repartition("host", "layout", "part").sortWithinPartitions("host", "layout", "part", "wrapper").mapInArrow(gather, kind)
     return found.repartition("host").sortWithinPartitions("host", "layout", "wrapper").mapInArrow(meet, "host string, layout string, slots array<string>")
 
 
@@ -425,12 +515,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 2):
             found = [layout(page) if page else "" for page in batch.column("html").to_pylist()]
             yield batch.append_column("layout", pa.array(found, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 2):
             known: dict[tuple[str, ...], frozenset[str]] = {}
             texts = []
             for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
