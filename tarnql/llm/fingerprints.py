@@ -91,20 +91,22 @@ _CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, hash, text): blocks are ranges of ids, null ids in a block of their own.
+    """(block, doc_id, hash, text): blocks are ranges of ids, in order.
 
     The bounds are quantiles of the ids, a bounded number for each partition.
+    Null ids, and an id that has so many rows that several quantiles fall on it,
+    are split into ranges of the texts' hashes, by which such rows are ordered.
     """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0]
-    bounds = sorted(set(got or []))
-    block = F.lit(0)
-    if bounds:
-        block = _search("doc_id", bounds)
-    block = F.when(F.col("doc_id").isNull(), -1).otherwise(block).cast("int")
-    return rows.select(block.alias("block"), "doc_id", F.xxhash64("text").alias("hash"), "text")
+    got = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds, heavy = sorted(set(got)), sorted({x for x, y in zip(got, got[1:]) if x == y})
+    block = F.when(F.col("doc_id").isNull(), -1).otherwise(_search("doc_id", bounds))
+    share = F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * n), F.lit(n - 1))
+    # a heavy id is the last one of its block
+    part = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin(heavy), share + 1).otherwise(0)
+    return rows.withColumn("hash", F.xxhash64("text")).select((block * (n + 1) + part).cast("int").alias("block"), "doc_id", "hash", "text")
 
 
 def _search(name: str, bounds: list[int], low: int = 0) -> F.Column:
@@ -181,8 +183,14 @@ def _ends(rows: DataFrame) -> DataFrame:
     )
 
 
+def members(prints: DataFrame) -> DataFrame:
+    """(doc_id, class_id): documents of equal fingerprints form a class, named by its smallest doc_id."""
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    return prints.select("doc_id", "fingerprint").join(classes, "fingerprint").select("doc_id", "class_id")
+
+
 def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
-    """(doc_a, doc_b, likeness) of different fingerprints at least this alike, and each class's members.
+    """(doc_a, doc_b, likeness) of classes whose fingerprints are at least this alike; ``members`` has the classes' documents.
 
     ``prints`` has doc_id and fingerprint.  Equal fingerprints form one class,
     named by its smallest doc_id, so a group of copies takes part once.  Sets
