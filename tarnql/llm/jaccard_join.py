@@ -43,7 +43,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +63,8 @@ PIVOTS, FIRST = 16, 3
 HIGH_MEAN, HIGH_LARGE = 8, 64
 #: Tokens before a common one that tell whether it is the first.
 BEFORE = 4
+#: Places of sets that a task remembers, so that it sends each once.
+SEEN = 100_000
 #: Sets of a large group in a block, about.
 WALKERS = 256
 #: Partners of one candidate in a task, about.
@@ -306,17 +307,22 @@ def ordered_sets(blocks: DataFrame, classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, key, tokens = None, 0, b""
+        seen: set[tuple] = set()
         for batch in common.slices(batches, 5):
-            keys, sets = [], []
-            for t in common.texts(batch.column(5)):
+            own, sets = [], []
+            for t, *place in zip(common.texts(batch.column(5)), *(c.to_pylist() for c in batch.columns[:5]), strict=True):
                 if t != text:  # a text's blocks lie side by side
                     (s,) = _sets([t], classes.value)
                     text, key, tokens = t, _set_key(s), s.astype(">u8").tobytes()
-                keys.append(key)
-                sets.append(tokens)
-            # a document with several texts meets the keys of the others too
-            own = pc.equal(batch.column(4), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], schema=schema).filter(own)
+                # rows that share an id may have equal texts, and meet the keys of each other's texts too
+                own.append(key == place[4] and tuple(place) not in seen)
+                if own[-1]:
+                    sets.append(tokens)
+                    seen.add(tuple(place))
+                if len(seen) > SEEN:
+                    seen.clear()
+            kept = batch.filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:5], pa.array(sets, pa.binary())], schema=schema)
 
     return blocks.select("x", "y", "salt", "in_trie", "key", "text").mapInArrow(run, out)
 

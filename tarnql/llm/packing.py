@@ -38,7 +38,7 @@ BLOCK_ROWS = 10_000
 #: Characters whose unknown chunks are encoded together, about.
 TOGETHER = 1 << 20
 #: Bytes that the chunks' ids which a worker remembers take, about, and as many again that were last in use before those.
-MEMORY = common.MEMORY_BYTES // 2
+MEMORY = common.MEMORY_BYTES
 #: Stands between chunks that are encoded together; texts with it, or with a
 #: control character that only str.split() takes as a blank, are encoded whole.
 MARK = "\x01"
@@ -90,7 +90,7 @@ class Encoder:
         if before:
             again = {c for c in new if c in before}
             known.update({c: before[c] for c in again})
-            self.size += sum(len(c) + len(before[c]) + common.ENTRY_BYTES for c in again)
+            self.size += 5 * sum(map(len, again)) + common.ENTRY_BYTES * len(again)
             new -= again
         # below U+0300 no character composes with another, and each is lower-cased by itself
         odd = {c for c in new if not c.isascii() and max(c) >= "\u0300"}
@@ -102,11 +102,12 @@ class Encoder:
     def _learn(self, tokenizer, chunks: list[str], normal: Callable[[str], str]) -> None:
         if not chunks:
             return
-        ids = self._ids(tokenizer, normal(f" {MARK} ".join(chunks)))
+        text = normal(f" {MARK} ".join(chunks))
+        ids = self._ids(tokenizer, text)
+        self.size += len(text) + 4 * len(ids) + common.ENTRY_BYTES * len(chunks)
         ends, packed, at = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes(), 0
         for c, end in zip(chunks, [*ends, len(packed)], strict=True):
             self.chunks[c] = packed[at:end]
-            self.size += len(c) + end - at + common.ENTRY_BYTES
             at = end + 4
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnql.llm import common, decontamination, fingerprints, html_text, jaccard_join, packing
 
@@ -124,6 +125,17 @@ def test_blocks_and_candidate_parts(spark, monkeypatch):
     assert [len(h) for h in got["hits"]] == [want[i][1] for i, _ in docs]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_proximity_against_brute_force(seed):
+    rng = random.Random(seed)
+    items = [(i, " ".join(_words(rng, rng.choice([2, 3, 5, 12]), 8))) for i in range(8)] + [(None, "w1 w2"), (9, None)]
+    docs = [(i, " ".join(_words(rng, rng.choice([0, 1, 3, 12, 60]), 8))) for i in range(25)]
+    query = decontamination.windows([("" if i is None else str(i), None if t is None else t.encode()) for i, t in items], length=4)
+    got = decontamination.search_segment(query, decontamination.segment([i for i, _ in docs], [t.encode() for _, t in docs]), slack=2)
+    want = decontamination.brute_force_near(docs, items, 4, 2)
+    assert [sorted({query["names"][o] for o in s}) for s in got["near"]] == [want[i] for i, _ in docs]
+
+
 def test_proximity():
     query = decontamination.windows([("a", b"one two three four")], length=4)
     own = decontamination.segment([1, 2, 3], [b"x one two three four", b"one two y three four", b"one two y y y y three four"])
@@ -356,3 +368,55 @@ def test_texts_with_one_beginning_differ():
     for page in pages[1:]:
         wrapper = html_text.merge(wrapper, html_text.pattern(page))
     assert html_text.extract(pages[3], frozenset(html_text.main_slots(wrapper))) == f"{lead}then 3 x {lead}y 3"
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_common_sequence(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(html_text, "CELLS", rng.choice([1, 6, 40, 4096]))
+    for _ in range(60):
+        left, right = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randrange(18))] for _ in range(2))
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        got = html_text.common_labels(left, right)
+        assert len(got) == best[-1][-1] and all(left[i] == right[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+
+
+def test_wide_pages_align():
+    rng = random.Random(1)
+    one, two = (["abcdefg"[rng.randrange(7)] for _ in range(4000)] for _ in range(2))
+    assert len(html_text.common_labels(one, two)) > 2000
+
+
+@pytest.mark.parametrize("depth", [0, 10, 70, 300])
+def test_deep_pages(depth):
+    page = "<div>" * depth + "<article>Body<aside>Not</aside> text</article><nav>menu <a>link</a></nav><footer>copyright foot</footer>" + "</div>" * depth
+    assert html_text.page_text(page, frozenset(html_text.main_slots(html_text.pattern(page)))) == "Body text"
+
+
+@pytest.mark.parametrize("n", [3, 7, 8, 9])
+def test_unmarked_paragraphs_with_one_beginning(spark, n):
+    lead = "The same eighty-eight characters stand at the beginning of each of these paragraphs here. "
+    pages = [(i, f"http://x.example/{i}", f"<html><body><div class='top'>Our site</div><div><p>{lead}Number {i} differs.</p><p>Rest {i}.</p></div></body></html>") for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()}
+    # the wrapper makes the difference: a page alone doesn't tell that its first text is the site's
+    assert got == {i: f"{lead}Number {i} differs. Rest {i}." for i in range(n)}
+    assert html_text.page_text(pages[0][2], frozenset()).startswith("Our site")
+
+
+@pytest.mark.parametrize("ids", [[None] * 40, [7] * 40, [3] * 20 + [None] * 20, list(range(5)) * 8])
+def test_fingerprints_of_hot_ids(spark, ids):
+    rng = random.Random(2)
+    docs = [(i, f"the word{rng.randrange(30)} of a thing{rng.randrange(9)}") for i in ids]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    blocks = fingerprints._blocks(frame).groupBy("block").count().collect()
+    assert len(blocks) > 3
+    order = [(r["doc_id"], r["text"]) for r in frame.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").collect()]
+    want = []
+    for (i, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        want.append((i, hashlib.sha256(fingerprints.edited(text.encode(), after.encode())).hexdigest()))
+    got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprint(frame).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

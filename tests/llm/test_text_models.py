@@ -182,6 +182,14 @@ def test_license_families(spark):
         assert all(0 <= f["probability"] <= 1 for f in r["findings"])
 
 
+@pytest.mark.parametrize("words", [0, 60, 200, 1000])
+def test_license_in_a_long_line(spark, words):
+    rest = " ".join(f"w{i % 97}" for i in range(words))
+    cases = {"apache-2.0": f"Licensed under the Apache License, Version 2.0. {rest}", "mit": f"{rest} Released under the MIT License. {rest}", "": f"{rest} nothing here {rest}"}
+    for r in licenses.scan(spark.createDataFrame(list(cases.items()), "doc_id string, text string")).collect():
+        assert [f["family"] for f in r["findings"]] == ([r["doc_id"]] if r["doc_id"] else [])
+
+
 def test_license_scan_matches_the_model(spark):
     lines = [t for ts in licenses.TEMPLATES.values() for t in ts]
     model = licenses.train()
