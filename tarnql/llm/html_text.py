@@ -15,7 +15,13 @@ none has and the same element holds the most running text.  The finished wrapper
 of a layout decides which slots hold the main text: those of the article without
 boilerplate elements; where none is marked, all without boilerplate elements,
 slots of mostly links and texts that are the same on more than half of the
-host's pages, two at least.  Each page's slots then give its text; a page without text in them is decided by its own pattern.
+host's pages, two at least.
+
+Each page is then read by its layout's wrapper: its elements are matched, in
+their order, with those of the pattern, where optional ones may be left out and
+repeated ones come again.  A text that meets a slot goes with the slot; a text
+in an element that the pattern lacks is decided by its own place in the page.  A
+page without text in main slots is decided by its own pattern.
 
 Defined cases: null and empty html give the empty text.  Urls without a host
 share one wrapper.  Unclosed comments, scripts and elements end with the page.
@@ -63,6 +69,8 @@ MARKED = "*"
 DEPTH = 64
 #: Rows of a table of alignments that are filled cell by cell; longer sequences are halved first.
 CELLS = 4096
+#: Text of compact wrappers that a worker remembers parsed, about.
+WRAPPER_BYTES = 4 << 20
 #: A host's wrappers meet in so many groups first.
 GROUPS = 64
 
@@ -442,12 +450,106 @@ def page_text(page: str, slots: frozenset[str]) -> str:
     return extract(page, slots) or extract(page, frozenset(main_slots(pattern(page))))
 
 
+#: What a compact wrapper says of an element.
+OPTIONAL, REPEATED, KEPT = 1, 2, 4
+
+
+def compact(wrapper: Node, template: set[tuple[str, ...]], pages: int) -> list:
+    """[label, what is said of it, children] for each element; what holds no main text has no children.
+
+    ``template`` has the host's template paths, and ``pages`` its number of pages.
+    """
+    paths = frozenset(main_slots(wrapper, template))
+    least = max(2, pages // 2 + 1)
+    marked = any(any(map(_is_main, p.split("/"))) for p in paths)
+
+    def keeps(slot: Node, path: str) -> bool:
+        # of slots with one path, those with one text on most pages are left out; if all have one, the path tells
+        return path in paths and (marked or slot.text is None or slot.repeated or slot.pages < least or path not in varied)
+
+    varied = {"/".join(p) for p, slots in _by_path(wrapper).items() if any(n.text is None or n.pages < least for n in slots)}
+
+    def pack(node: Node, path: tuple[str, ...]) -> list:
+        said = OPTIONAL * node.optional + REPEATED * node.repeated
+        if node.label == "#":
+            return ["#", said + KEPT * keeps(node, "/".join(path)), []]
+        inner = [pack(c, (*path, c.label) if c.label != "#" else path) for c in node.children]
+        if any(x[1] & KEPT for x in inner):
+            return [node.label, said + KEPT, inner]
+        return [node.label, said, []]
+
+    return pack(wrapper, ())
+
+
+def _meet(elements: list, at: int, label: str) -> int:
+    """The place of the pattern's element that an element with the label meets, from place ``at`` on; -1 if none does."""
+    if at < len(elements) and elements[at][0] == label:
+        return at
+    if at and elements[at - 1][0] == label and elements[at - 1][1] & REPEATED:
+        return at - 1
+    later = next((k for k in range(at, len(elements)) if elements[k][0] == label), -1)
+    if later >= 0 and all(x[1] & OPTIONAL for x in elements[at:later]):
+        return later
+    again = next((k for k in range(at - 1, -1, -1) if elements[k][0] == label and elements[k][1] & REPEATED), -1)
+    return again if again >= 0 else later
+
+
+def matched(page: str, wrapper: list) -> str:
+    """The page's main text by its layout's compact wrapper."""
+    out: list[str] = []
+    marked = bool(wrapper[1] & KEPT) and _has_main(wrapper)
+    # open elements: the pattern's one that each has met, or None, and the place behind its last child's; the first is the page
+    met: list[list | None] = [wrapper]
+    places = [0]
+    labels: tuple[str, ...] = ()
+    slot: list | None = None  # met by the text before, while no element lies between
+    for path, text, _ in stream(page):
+        if path != labels:
+            keep = 0
+            while keep < min(len(path), len(labels)) and path[keep] == labels[keep]:
+                keep += 1
+            del met[keep + 1 :], places[keep + 1 :]
+            for label in path[keep:]:
+                mine = met[-1]
+                k = -1 if mine is None else _meet(mine[2], places[-1], label)
+                if k >= 0:
+                    places[-1] = k + 1
+                # all of an element that holds no main text is left out
+                met.append(mine[2][k] if k >= 0 else mine if mine is not None and not mine[1] & KEPT else None)
+                places.append(0)
+            labels, slot = path, None
+        if text is None:
+            out.append(" ")
+            continue
+        if not text.strip():
+            out.append(text if slot is None or slot[1] & KEPT else " ")
+            continue
+        mine = met[-1]
+        if mine is not None and slot is None:
+            k = _meet(mine[2], places[-1], "#")
+            if k >= 0:
+                places[-1] = k + 1
+                slot = mine[2][k]
+        if slot is not None:
+            good = bool(slot[1] & KEPT)
+        elif mine is not None and not mine[1] & KEPT:
+            good = False
+        else:  # the pattern has no text here: the page's own place tells
+            good = not _is_skipped(path) and (not marked or any(map(_is_main, path)))
+        out.append(text if good else " ")
+    return " ".join("".join(out).split())
+
+
+def _has_main(wrapper: list) -> bool:
+    return any(x[1] & KEPT and x[0] != "#" and (_is_main(x[0]) or _has_main(x)) for x in wrapper[2])
+
+
 def host(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, layout, slots): the main-text slots of each host's layouts, from all their pages.
+    """(host, layout, wrapper): compact wrappers of each host's layouts, from all their pages.
 
     Tasks infer their own pages' wrappers first; a layout's wrappers, one for
     each task at most, then meet; the host's template texts come from all of them.
@@ -483,11 +585,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, layouts = None, {}
-        out: list[tuple[str, str, list[str]]] = []
+        out: list[tuple[str, str, str]] = []
 
         def end() -> None:
-            template = template_paths(list(layouts.values()))
-            out.extend((name, x, main_slots(w, template)) for x, w in layouts.items())
+            template, n = template_paths(list(layouts.values())), sum(w.pages for w in layouts.values())
+            out.extend((name, x, json.dumps(compact(w, template, n), separators=(",", ":"))) for x, w in layouts.items())
 
         for batch in batches:
             for h, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -497,21 +599,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 new = Node.unpack(json.loads(text))
                 layouts[x] = merge(layouts[x], new) if x in layouts else new
         end()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.string()), pa.array([s for _, _, s in out], pa.list_(pa.string()))], names=["host", "layout", "slots"]
-        )
+        yield _rows(out)
 
     kind = "host string, layout string, wrapper string"
     found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(each, kind)
     # a host's wrappers, one of a layout for each task, meet in groups first, so no task gathers those of all tasks
     found = found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     found = found.repartition("host", "layout", "part").sortWithinPartitions("host", "layout", "part", "wrapper").mapInArrow(gather, kind)
-    return found.repartition("host").sortWithinPartitions("host", "layout", "wrapper").mapInArrow(meet, "host string, layout string, slots array<string>")
+    return found.repartition("host").sortWithinPartitions("host", "layout", "wrapper").mapInArrow(meet, kind)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
-    slots = common.stored(wrappers(pages))
+    found = common.stored(wrappers(pages))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,17 +621,16 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 2):
-            known: dict[tuple[str, ...], frozenset[str]] = {}
+            known = common.remembered("wrappers", lambda: common.Words(json.loads, most=WRAPPER_BYTES))
             texts = []
             for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = tuple(own or ())
-                texts.append(page_text(page, known.setdefault(key, frozenset(key))) if page else "")
+                texts.append(((matched(page, known[own]) if own else "") or extract(page, frozenset(main_slots(pattern(page))))) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     rows = rows.mapInArrow(lay, "page_id long, url string, html string, host string, layout string")
-    # Spark broadcasts the layouts' slots only below its own size limit, and joins by sorting above it
-    return rows.join(slots, ["host", "layout"], "left").select("page_id", "url", "html", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    # Spark broadcasts the layouts' wrappers only below its own size limit, and joins by sorting above it
+    return rows.join(found, ["host", "layout"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,3 +420,61 @@ def test_fingerprints_of_hot_ids(spark, ids):
         want.append((i, hashlib.sha256(fingerprints.edited(text.encode(), after.encode())).hexdigest()))
     got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprint(frame).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def _compact(pages):
+    wrapper = html_text.pattern(pages[0])
+    for page in pages[1:]:
+        wrapper = html_text.merge(wrapper, html_text.pattern(page))
+    return html_text.compact(wrapper, html_text.template_paths([wrapper]), wrapper.pages)
+
+
+def test_wrapper_tells_slots_of_one_path_apart():
+    """Only the aligned pattern tells the site's line from the article's: both have one path and no name."""
+    pages = [f"<div>Welcome to our site</div><h2>News {i}</h2><div>Article number {i} has this text.</div><ul><li>Point {i}</ul>" for i in range(6)]
+    pages.append("<div>Welcome to our site</div><p>Odd element</p><div>Short one.</div>")
+    found = _compact(pages)
+    assert html_text.matched(pages[2], found) == "News 2 Article number 2 has this text. Point 2"
+    # an optional heading left out, and an element that the pattern lacks on other pages
+    assert html_text.matched(pages[6], found) == "Odd element Short one."
+    assert html_text.matched("<div>Welcome to our site</div><h2>New</h2><div>Text.</div><table><tr><td>Unseen</table>", found) == "New Text. Unseen"
+    assert html_text.page_text(pages[2], frozenset()).startswith("Welcome")
+
+
+def test_optional_and_repeated_elements():
+    pages = [f"<article><h1>T{i}</h1>{'<p>x</p>' * (i + 1)}{'<pre>code</pre>' if i % 2 else ''}<p>end {i}</p></article><nav>menu</nav>" for i in range(4)]
+    found = _compact(pages)
+    for i, page in enumerate(pages):
+        assert html_text.matched(page, found) == " ".join([f"T{i}", *["x"] * (i + 1), *["code"] * (i % 2), f"end {i}"])
+    assert html_text.matched("<article><h1>T</h1><p>a</p><pre>b</pre><p>c</p><pre>d</pre></article><nav>menu</nav><nav>again</nav>", found) == "T a b c d"
+    assert html_text.matched("<nav>only <b>this</b></nav><footer>unseen</footer>", found) == ""
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_marked_pages_lose_nothing_to_the_wrapper(seed):
+    """Random articles on one host: the wrapper gives what a plain walk over each article gives."""
+    rng = random.Random(seed)
+
+    def block(depth):
+        tag = rng.choice(["p", "div", "section", "blockquote", "ul", "table"])
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{word()}" for _ in range(rng.randint(1, 3))) + "</ul>"
+        if tag == "table":
+            return "<table><tr>" + "".join(f"<td>{word()}" for _ in range(rng.randint(1, 3))) + "</table>"
+        if depth and tag != "p" and rng.random() < 0.5:
+            return f"<{tag}>{word()}{block(depth - 1)}{word()}{block(depth - 1)}</{tag}>"
+        return f"<{tag}>{word()} <b>{word()}</b>{word()}</{tag}>"
+
+    def word():
+        text = " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 4)))
+        own.append(text)
+        return f" {text} "
+
+    pages, wants = [], []
+    for _ in range(30):
+        own: list[str] = []
+        body = "".join(block(2) for _ in range(rng.randint(1, 5)))
+        pages.append(f"<header>site</header><main>{body}<aside>not this</aside></main><footer>foot</footer>")
+        wants.append(" ".join(own))
+    found = _compact(pages)
+    assert [html_text.matched(p, found) for p in pages] == wants
