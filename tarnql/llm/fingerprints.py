@@ -2,14 +2,20 @@
 
 A common word (an anchor) and the chain of content words after it form a spot
 signature.  A document's fingerprint is its set of signatures; near duplicates
-have a high Jaccard likeness of these sets.  ``near_pairs`` finds them: sets
-are partitioned by their size so that only neighbouring partitions can hold a
-pair, and each comparison ends as soon as the size bound rules it out.
+have a high Jaccard likeness of these sets, 0.75 or more.
+
+``near_classes`` finds them for all documents, with the machinery of the n-gram
+Jaccard join on signatures instead of shingles: sets that share a rare signature
+are partitioned by their size, as only neighbouring sizes can be alike enough;
+signatures that many share are split and meet pivots of their size; and each
+comparison is pruned as soon as what both sets have left rules it out.
+``near_pairs`` lists the pairs themselves, for tables without hot signatures.
 
 Defined cases: null text is the empty text.  A text without signatures gets
 one that stands for the whole text, so equal texts always have likeness 1.
 Documents with equal ids are ordered by their text's hash.  A null id comes
-before all others.  A single document is its own next document.
+before all others, and has no near class; rows that share an id have one class.
+A single document is its own next document.
 """
 
 from __future__ import annotations
@@ -18,12 +24,13 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnql.llm import common
+from tarnql.llm import common, jaccard_join
 
 #: Common words of English, German, French and Spanish; fixed values.
 ANCHORS = frozenset(
@@ -77,36 +84,56 @@ def edited(text: bytes, following: bytes) -> bytes:
     return (own[: len(own) - n] + head).encode("utf-8", "surrogatepass")
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' signatures, one text after the other, and each text's number of them."""
+    found = [signatures(t or b"") for t in texts]
+    hashes = np.fromiter((x for s in found for x in s), np.uint64, sum(map(len, found)))
+    # the join's order takes counters from the low bits and keeps the others
+    return hashes << np.uint64(32) | hashes, np.array([len(s) for s in found], np.int64)
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, near_class): the smallest doc_id that each document reaches by likenesses of 0.75 or more; rows without an id have none."""
+    found = jaccard_join.jaccard_components(docs, terms=terms)
+    return found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("near_class"))
+
 
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long"
 
-def _row(doc_id: int | None, text: bytes, own: frozenset[int], following: bytes, other: frozenset[int]) -> tuple:
+
+def _row(doc_id: int | None, near_class: int | None, text: bytes, own: frozenset[int], following: bytes, other: frozenset[int]) -> tuple:
     new = edited(text, following)
     changed = own if new == text else signatures(new)
     n_chars = len(text) - sum(map(text.count, _CONTINUATION)) if not text.isascii() else len(text)
-    return doc_id, n_chars, hashlib.sha256(new).hexdigest(), encode(own), encode(changed), likeness(own, changed), likeness(own, other)
+    return doc_id, n_chars, hashlib.sha256(new).hexdigest(), encode(own), encode(changed), likeness(own, changed), likeness(own, other), near_class
 
 
 _CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, hash, text): blocks are ranges of ids, in order.
+def _blocks(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(block, doc_id, hash, text, near_class): blocks are ranges of ids, in order.
 
     The bounds are quantiles of the ids, a bounded number for each partition.
     Null ids, and an id that has so many rows that several quantiles fall on it,
     are split into ranges of the texts' hashes, by which such rows are ordered.
+    A row without a text and hash tells its id's class, in each of the id's blocks.
     """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     bounds, heavy = sorted(set(got)), sorted({x for x, y in zip(got, got[1:]) if x == y})
-    block = F.when(F.col("doc_id").isNull(), -1).otherwise(_search("doc_id", bounds))
+    block = F.when(F.col("doc_id").isNull(), -1).otherwise(_search("doc_id", bounds)) * (n + 1)
     share = F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * n), F.lit(n - 1))
     # a heavy id is the last one of its block
     part = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin(heavy), share + 1).otherwise(0)
-    return rows.withColumn("hash", F.xxhash64("text")).select((block * (n + 1) + part).cast("int").alias("block"), "doc_id", "hash", "text")
+    texts = rows.withColumn("hash", F.xxhash64("text")).select((block + part).cast("int").alias("block"), "doc_id", "hash", "text", F.lit(None).cast("long").alias("near_class"))
+    if classes is None:
+        return texts
+    parts = F.explode(F.when(F.col("doc_id").isin(heavy), F.sequence(F.lit(1), F.lit(n))).otherwise(F.array(F.lit(0)))).alias("part")
+    told = classes.select("doc_id", "near_class", parts).select((block + F.col("part")).cast("int").alias("block"), "doc_id", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("text"), "near_class")
+    return texts.unionByName(told)
 
 
 def _search(name: str, bounds: list[int], low: int = 0) -> F.Column:
@@ -117,49 +144,60 @@ def _search(name: str, bounds: list[int], low: int = 0) -> F.Column:
     return F.when(F.col(name) <= F.lit(bounds[mid]), _search(name, bounds[:mid], low)).otherwise(_search(name, bounds[mid + 1 :], low + mid + 1))
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, tuple]]:
-    """(block, row, next row) for neighbours in a block."""
-    before = None
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+    """(row, next row) for neighbours in a block; rows are (block, doc_id, near_class, text)."""
+    before, told = None, (None, None)
     for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), strict=True):
-            if before is not None and before[0] == row[0]:
-                yield before[0], before[1:], row[1:]
+        for block, doc_id, near_class, text in zip(*(batch.column(k).to_pylist() for k in range(3)), common.texts(batch.column(3)), strict=True):
+            if text is None:
+                told = doc_id, near_class
+                continue
+            row = block, doc_id, told[1] if doc_id is not None and told[0] == doc_id else None, text
+            if before is not None and before[0] == block:
+                yield before, row
             before = row
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, its edited text's, and their likeness.
+    """Each document's fingerprint, its edited text's, their likeness, and its class of near duplicates.
 
-    One shuffle brings each range of ids into order.  All rows but the last of
-    a range meet the next document there; the ranges' first and last rows, two
-    for each range, meet in a small join.
+    One shuffle brings each range of ids into order, together with the ids'
+    classes.  All rows but the last of a range meet the next document there; the
+    ranges' first and last rows, two for each range, meet in a small join.
     """
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("near_class", pa.int64())])
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         seen: tuple[bytes, frozenset[int]] | None = None
-        for _, (doc_id, text), (_, following) in _within(batches):
+        for (_, doc_id, near_class, text), (_, _, _, following) in _within(common.slices(batches, 3)):
             own = seen[1] if seen is not None and seen[0] == text else signatures(text)
             seen = following, (own if following == text else signatures(following))
-            out.append(_row(doc_id, text, own, following, seen[1]))
+            out.append(_row(doc_id, near_class, text, own, following, seen[1]))
             if len(out) >= common.SLICE_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+                yield made(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+            yield made(out)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, following in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), common.texts(batch.column(2)), strict=True):
+            for doc_id, near_class, text, following in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), common.texts(batch.column(3)), strict=True):
                 own = signatures(text)
-                out.append(_row(doc_id, text, own, following, own if following == text else signatures(following)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
-
-    rows = _blocks(docs)
-    base = rows.repartition("block").sortWithinPartitions("block", "doc_id", "hash", "text").select("block", "doc_id", "text")
-    met = _ends(rows).select("doc_id", "text", "following")
+                out.append(_row(doc_id, near_class, text, own, following, own if following == text else signatures(following)))
+            yield made(out)
+
+    classes = common.stored(near_classes(docs))
+    rows = _blocks(docs, classes)
+    base = rows.repartition("block").sortWithinPartitions("block", "doc_id", "hash", "text").select("block", "doc_id", "near_class", "text")
+    met = common.stored(_ends(_blocks(docs)).select("doc_id", "text", "following"))
+    # two rows for each block at most
+    of_ends = classes.join(F.broadcast(met.select("doc_id").distinct()), "doc_id")
+    met = met.join(F.broadcast(of_ends), "doc_id", "left").select("doc_id", "near_class", "text", "following")
     return base.mapInArrow(inner, FIELDS).unionByName(met.mapInArrow(joined, FIELDS))
 
 

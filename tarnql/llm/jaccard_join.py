@@ -39,7 +39,7 @@ without an id link with nothing; their component is null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,14 +112,18 @@ def _set_key(ordered: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(ordered.tobytes()) - (1 << 63)
 
 
-def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """A class from 0 to 255 for each counter, from the shingles of all texts."""
+#: Texts to the hashes of their terms, one text after the other, and each text's number of them.
+Terms = Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
+
+
+def frequency_classes(docs: DataFrame, terms: Terms = shingles) -> np.ndarray:
+    """A class from 0 to 255 for each counter, from the terms of all texts."""
     size = COUNTERS // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in common.slices(batches, 0):
-            h, _ = shingles(common.texts(batch.column(0)))
+            h, _ = terms(common.texts(batch.column(0)))
             total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_packed(total[i * size : (i + 1) * size]) for i in range(PARTS)], pa.binary())], names=["part", "counts"])
 
@@ -158,12 +162,12 @@ def high_class(classes: np.ndarray, most: int) -> int:
     return min(256, int(np.ceil(8 * np.log2(max(HIGH_MEAN * mean, HIGH_LARGE * most) + 1))))
 
 
-def _sets(texts: list[bytes | None], classes: np.ndarray) -> list[np.ndarray]:
-    h, counts = shingles(texts)
+def _sets(texts: list[bytes | None], classes: np.ndarray, terms: Terms) -> list[np.ndarray]:
+    h, counts = terms(texts)
     return [np.unique(x) for x in np.split(in_order(h, classes), np.cumsum(counts)[:-1])] if texts else []
 
 
-def prefixes(docs: DataFrame, classes) -> DataFrame:
+def prefixes(docs: DataFrame, classes, terms: Terms = shingles) -> DataFrame:
     """(doc_id, n, key, tokens): each document's set, and its prefix if it is the task's first with this set."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
@@ -171,7 +175,7 @@ def prefixes(docs: DataFrame, classes) -> DataFrame:
         seen: set[int] = set()
         for batch in common.slices(batches, 1):
             ids, n, keys, tokens = batch.column(0).to_pylist(), [], [], []
-            for doc_id, s in zip(ids, _sets(common.texts(batch.column(1)), classes.value), strict=True):
+            for doc_id, s in zip(ids, _sets(common.texts(batch.column(1)), classes.value, terms), strict=True):
                 key = _set_key(s)
                 n.append(len(s))
                 keys.append(key)
@@ -298,7 +302,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.select("doc_id", "text").join(wanted, "doc_id")
 
 
-def ordered_sets(blocks: DataFrame, classes) -> DataFrame:
+def ordered_sets(blocks: DataFrame, classes, terms: Terms = shingles) -> DataFrame:
     """Blocks (x, y, salt, in_trie, key, text) with the key's set in the global order, eight bytes a token, highest first."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -312,7 +316,7 @@ def ordered_sets(blocks: DataFrame, classes) -> DataFrame:
             own, sets = [], []
             for t, *place in zip(common.texts(batch.column(5)), *(c.to_pylist() for c in batch.columns[:5]), strict=True):
                 if t != text:  # a text's blocks lie side by side
-                    (s,) = _sets([t], classes.value)
+                    (s,) = _sets([t], classes.value, terms)
                     text, key, tokens = t, _set_key(s), s.astype(">u8").tobytes()
                 # rows that share an id may have equal texts, and meet the keys of each other's texts too
                 own.append(key == place[4] and tuple(place) not in seen)
@@ -448,13 +452,13 @@ def labelled(components: DataFrame) -> DataFrame:
     return inner.unionByName(components.select(F.col("component").alias("key"), F.col("component").alias("label"))).distinct()
 
 
-def jaccard_components(docs: DataFrame, most: int = LARGE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+def jaccard_components(docs: DataFrame, most: int = LARGE, terms: Terms = shingles) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``; ``terms`` may give other sets than those of shingles."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = frequency_classes(rows)
+    order = frequency_classes(rows, terms)
     high = high_class(order, most)
     classes = docs.sparkSession.sparkContext.broadcast(order)  # one byte for each counter
-    full = common.stored(prefixes(rows, classes))
+    full = common.stored(prefixes(rows, classes, terms))
     entries = full.filter("tokens is not null").select(F.posexplode("tokens").alias("place", "token"), "key", "n")
     is_high = F.shiftrightunsigned("token", 56) >= high
     dealt = entries.filter(~is_high).select("token", "key", (F.shiftleft("n", 32) + F.col("place")).alias("size")).repartition("token").sortWithinPartitions("token", "size", "key")
@@ -476,9 +480,9 @@ def jaccard_components(docs: DataFrame, most: int = LARGE) -> DataFrame:
     texts = table.filter("doc_id is not null and n > 0").select("doc_id", "key")
     several = texts.groupBy("doc_id").agg(F.min("key").alias("b"), F.max("key").alias("most")).filter("b != most").select("doc_id", "b")
     several = texts.join(several, "doc_id").filter("key != b").select(F.col("key").alias("a"), "b")
-    by_key = common.stored(labelled(components(_verified(rows, blocks, ids, classes).unionByName(several))))
+    by_key = common.stored(labelled(components(_verified(rows, blocks, ids, classes, terms).unionByName(several))))
     if large:
-        second = _verified(rows, pair_blocks(common.stored(_second_round(members, by_key, counted))), ids, classes)
+        second = _verified(rows, pair_blocks(common.stored(_second_round(members, by_key, counted))), ids, classes, terms)
         label = lambda c: second.join(by_key.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}")), c, "left").select("a", "b", F.coalesce(f"label_{c}", c).alias(c * 2))
         between = label("a").join(label("b"), ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b"))
         over = labelled(components(between)).select(F.col("key").alias("label"), F.col("label").alias("last"))
@@ -494,10 +498,10 @@ def jaccard_components(docs: DataFrame, most: int = LARGE) -> DataFrame:
     )
 
 
-def _verified(rows: DataFrame, blocks: DataFrame, ids: DataFrame, classes) -> DataFrame:
+def _verified(rows: DataFrame, blocks: DataFrame, ids: DataFrame, classes, terms: Terms) -> DataFrame:
     """(a, b) of the set keys that link, of the blocks' candidates."""
     wanted = common.stored(blocks.join(ids, "key"))
-    found = common.stored(links(ordered_sets(_texts_of(rows, wanted), classes)))
+    found = common.stored(links(ordered_sets(_texts_of(rows, wanted), classes, terms)))
     common.dropped(wanted)
     return found
 

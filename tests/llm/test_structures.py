@@ -273,6 +273,31 @@ def test_fingerprints_against_plain_text(spark):
         assert tuple(got[doc_id][c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) == want
 
 
+@pytest.mark.parametrize("groups, size", [(12, 5), (2, 60)])
+def test_near_classes_against_all_pairs(spark, groups, size):
+    rng = random.Random(groups)
+    docs = []
+    for g in range(groups):
+        base = [w for _ in range(rng.choice([3, 20, 40])) for w in (rng.choice(["the", "of", "and"]), *_words(rng, 2, 10**5))]
+        for _ in range(rng.randint(1, size)):
+            own = [w if rng.random() > 0.04 else f"e{rng.randrange(10**6)}" for w in base]
+            docs.append((len(docs) * 7 % 1009, " ".join(own)))
+    docs += [(2000, ""), (2001, None), (2002, "no anchors here"), (2003, "no anchors here")]
+    sets = [fingerprints.signatures((t or "").encode()) for _, t in docs]
+    parent = {i: i for i, _ in docs}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if fingerprints.likeness(a, sets[j]) >= 0.75:
+                x, y = root(docs[i][0]), root(docs[j][0])
+                parent[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["near_class"] for r in fingerprints.fingerprint(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: root(i) for i, _ in docs} and got[2001] == 2000 and got[2003] == 2002
+
+
 def test_near_pairs_against_all_pairs(spark):
     rng = random.Random(9)
     sets = []
