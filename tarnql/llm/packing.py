@@ -38,7 +38,7 @@ BLOCK_ROWS = 10_000
 #: Characters whose unknown chunks are encoded together, about.
 TOGETHER = 1 << 20
 #: Bytes that the chunks' ids which a worker remembers take, about, and as many again that were last in use before those.
-MEMORY = common.MEMORY_BYTES
+MEMORY = 2 * common.MEMORY_BYTES
 #: Stands between chunks that are encoded together; texts with it, or with a
 #: control character that only str.split() takes as a blank, are encoded whole.
 MARK = "\x01"
@@ -86,7 +86,7 @@ class Encoder:
             self.chunks, self.before, self.size = {}, self.chunks, 0
         known, before = self.chunks, self.before
         cuts = [None if any(x in text for x in self.whole_only) else text.split() for text in texts]
-        new = {c for cut in cuts if cut for c in cut if c not in known}
+        new = set().union(*filter(None, cuts)).difference(known)
         if before:
             again = {c for c in new if c in before}
             known.update({c: before[c] for c in again})
