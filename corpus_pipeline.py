@@ -24,6 +24,8 @@ from tarnql.llm import common, decontamination, jaccard_join, language, packing,
 
 #: Least share of its best language below which a text is no text of any.
 LEAST_LANGUAGE = 0.4
+#: Bytes of chunks that a worker remembers in the last stage: less than in packing alone, as the stages before it leave a larger heap.
+PACKING_MEMORY = common.MEMORY_BYTES
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -82,7 +84,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents' tokens; a row for each piece."""
-    return packing.pack(docs, packing.default_tokenizer())
+    return packing.pack(docs, packing.default_tokenizer(), memory=PACKING_MEMORY)
 
 
 STAGES = [

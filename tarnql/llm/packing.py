@@ -52,7 +52,7 @@ class Encoder:
     space is encoded once and remembered; unknown chunks are encoded together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +62,7 @@ class Encoder:
         self.whole_only = (*WHOLE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.chunks: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.size = 0
+        self.size, self.memory = 0, memory
 
     def whole(self, text: str) -> bytes:
         return self._ids(self.tokenizer, text).tobytes()
@@ -82,7 +82,7 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if self.size > MEMORY:
+        if self.size > self.memory:
             self.chunks, self.before, self.size = {}, self.chunks, 0
         known, before = self.chunks, self.before
         cuts = [None if any(x in text for x in self.whole_only) else text.split() for text in texts]
@@ -111,7 +111,7 @@ class Encoder:
             at = end + 4
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
     """A row for each piece: full windows, then what remains."""
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
@@ -119,7 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         for batch in common.slices(batches, 1):
-            own = common.remembered(f"packing {tokenizer_path}", lambda: Encoder(tokenizer_path))
+            own = common.remembered(f"packing {tokenizer_path} {memory}", lambda: Encoder(tokenizer_path, memory))
             out: list[tuple] = []
             every = own.encode([text or "" for text in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), every, strict=True):
@@ -193,10 +193,10 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return runs, windows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every piece with its sequence and its offset there."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
+    """Every piece with its sequence and its offset there; ``memory`` bounds the bytes a worker remembers of chunks, no results."""
     spark = docs.sparkSession
-    pieces = common.stored(token_pieces(docs, tokenizer_path, capacity, end_id))
+    pieces = common.stored(token_pieces(docs, tokenizer_path, capacity, end_id, memory))
     by_length = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     runs, _ = best_fit_decreasing({r["length"]: r["count"] for r in by_length}, capacity)
     blocks = max(1, sum(r["count"] for r in by_length) // BLOCK_ROWS)
