@@ -12,11 +12,13 @@ reader.
 Memory.  Spark's Arrow batches are bounded by its own setting, which is left
 alone; ``slices`` cuts them to a few megabytes of text, whatever the rows hold.
 What a worker remembers from batch to batch is bounded in bytes, and a worker
-keeps the memory of one operator only (``remembered``).
+keeps the memory of one operator only (``remembered``); operators without one
+call ``forget``, so that none of them runs beside another's memory.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -109,12 +111,22 @@ _memory: list = []
 def remembered(key: str, make: Callable[[], Any]) -> Any:
     """What this worker remembers under the key; what it remembered under another key is let go first."""
     if not _memory or _memory[0] != key:
-        _memory.clear()
-        pa.default_memory_pool().release_unused()
+        forget()
         _memory.extend((key, make()))
     return _memory[1]
 
 
+def forget() -> None:
+    """Lets go what this worker remembers, and gives the memory back to the system."""
+    if not _memory:
+        return
+    _memory.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+        trim(0)
+
+
 class Words(dict):
     """Values by word, found once by ``find``; emptied when it takes more than ``most`` bytes, about."""
 

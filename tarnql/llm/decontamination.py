@@ -90,6 +90,7 @@ def segment(doc_ids: list[int | None], texts: list[bytes | None]) -> dict:
 def build_index(docs: DataFrame) -> DataFrame:
     """Segments of all the documents, stored in the shared folder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         ids, texts, size = [], [], 0
         for batch in common.slices(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
@@ -212,6 +213,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
         shared = spark.sparkContext.broadcast(windows([(r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part], window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.forget()
             query = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):

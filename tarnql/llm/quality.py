@@ -152,7 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict
 def score(docs: DataFrame, model: dict | None, column: str = "score") -> DataFrame:
     """All rows and columns of ``docs``, and the score of ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return common.with_columns(docs, "text", lambda texts: {column: scores(shared.value, texts)}, f"{column} double")
+
+    def scored(texts: list[bytes | None]) -> dict:
+        common.forget()
+        return {column: scores(shared.value, texts)}
+
+    return common.with_columns(docs, "text", scored, f"{column} double")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -503,3 +503,22 @@ def test_marked_pages_lose_nothing_to_the_wrapper(seed):
         wants.append(" ".join(own))
     found = _compact(pages)
     assert [html_text.matched(p, found) for p in pages] == wants
+
+
+def test_workers_forget():
+    big = common.remembered("a", lambda: common.Words(len))
+    assert big[b"word"] == 4 and common.remembered("a", lambda: 0) is big
+    common.forget()
+    common.forget()  # with nothing to forget
+    assert common.remembered("a", lambda: 5) == 5
+    common.remembered("b", lambda: 6)
+    assert common.remembered("a", lambda: 7) == 7  # another key's memory went first
+
+
+def test_chunk_memory_changes_no_ids():
+    draw = random.Random(1)
+    texts = [" ".join("".join(draw.choices("abcdé", k=draw.randint(1, 9))) for _ in range(200)) for _ in range(40)]
+    wide, narrow = packing.Encoder(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer(), 1000)
+    want = [wide.whole(t) for t in texts]
+    assert list(wide.encode(texts)) == want
+    assert [ids for t in texts for ids in narrow.encode([t])] == want
