@@ -25,7 +25,7 @@ from tarnql.llm import common, decontamination, jaccard_join, language, packing,
 #: Least share of its best language below which a text is no text of any.
 LEAST_LANGUAGE = 0.4
 #: Bytes of chunks that a worker remembers in the last stage: less than in packing alone, as the stages before it leave a larger heap.
-PACKING_MEMORY = common.MEMORY_BYTES
+PACKING_MEMORY = common.MEMORY_BYTES // 4
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
