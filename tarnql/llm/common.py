@@ -9,8 +9,8 @@ Shared tables.  ``stored`` cuts a lineage by writing a Parquet table below
 only its running tasks.  ``dropped`` deletes such tables after their last
 reader.
 
-Memory.  Spark's Arrow batches are bounded by its own setting, which is left
-alone; ``slices`` cuts them to a few megabytes of text, whatever the rows hold.
+Memory.  Spark's Arrow batches are bounded by its own setting, which only
+``stored`` lowers, while it writes; ``slices`` cuts them to a few megabytes of text, whatever the rows hold.
 What a worker remembers from batch to batch is bounded in bytes, and a worker
 keeps the memory of one operator only (``remembered``); operators without one
 call ``forget``, so that none of them runs beside another's memory.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -33,6 +34,8 @@ from tarnql.sources.shared import shared_dir
 
 #: Rows and bytes of text that a worker takes at once, about; a longer text is taken alone.
 SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
+#: Spark's bound of the bytes that go to a Python worker at once.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes that one operator's memory of words takes in a worker, about, and those of an entry besides the word.
 MEMORY_BYTES, ENTRY_BYTES = 48 << 20, 160
 
@@ -67,10 +70,26 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark hands Python workers batches of ``SLICE_BYTES``, about; afterwards of what it was set to.
+
+    Meant for one write: a batch of Spark's own size lies in the JVM and in the
+    worker at once, and ``slices`` would cut it only there.
+    """
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read from there."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -522,3 +523,19 @@ def test_chunk_memory_changes_no_ids():
     want = [wide.whole(t) for t in texts]
     assert list(wide.encode(texts)) == want
     assert [ids for t in texts for ids in narrow.encode([t])] == want
+
+
+def test_stored_writes_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64()), "size": pa.array([batch.nbytes], pa.int64())})
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text")).mapInArrow(sizes, "n long, size long")
+    got = common.stored(rows).collect()
+    assert sum(r["n"] for r in got) == 4000 and len(got) > 1
+    assert max(r["size"] for r in got) < 2 * common.SLICE_BYTES
+    assert spark.conf.get(common.BATCH_SETTING) == before
+    with pytest.raises(Exception, match="(?i)divi"):
+        common.stored(spark.range(3).select(F.expr("raise_error('division')").alias("x")))
+    assert spark.conf.get(common.BATCH_SETTING) == before
