@@ -71,6 +71,9 @@ WALKERS = 256
 PARTNERS = 64
 #: Bits of the filter that spares a shuffle of texts without candidates.
 FILTER_BITS = 1 << 23
+#: Words of 64 bits in a set's parity map, and their columns.
+MAP_WORDS = 4
+MAPS = [f"map{i}" for i in range(MAP_WORDS)]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,6 +115,16 @@ def _set_key(ordered: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(ordered.tobytes()) - (1 << 63)
 
 
+def parity_map(ordered: np.ndarray) -> np.ndarray:
+    """Each bit tells whether an odd number of the set's tokens fall on it.
+
+    Common tokens cancel out in the difference of two maps, so that it has at
+    most as many bits as the sets have tokens that are not common.
+    """
+    odd = np.bincount((ordered % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 #: Texts to the hashes of their terms, one text after the other, and each text's number of them.
 Terms = Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
 
@@ -168,25 +181,28 @@ def _sets(texts: list[bytes | None], classes: np.ndarray, terms: Terms) -> list[
 
 
 def prefixes(docs: DataFrame, classes, terms: Terms = shingles) -> DataFrame:
-    """(doc_id, n, key, tokens): each document's set, and its prefix if it is the task's first with this set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """(doc_id, n, key, tokens, maps): each document's set, and its prefix and parity map if it is the task's first with this set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.list_(pa.int64())), *((m, pa.int64()) for m in MAPS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in common.slices(batches, 1):
-            ids, n, keys, tokens = batch.column(0).to_pylist(), [], [], []
+            ids, n, keys, tokens, maps = batch.column(0).to_pylist(), [], [], [], []
             for doc_id, s in zip(ids, _sets(common.texts(batch.column(1)), classes.value, terms), strict=True):
                 key = _set_key(s)
                 n.append(len(s))
                 keys.append(key)
                 if doc_id is None or not len(s) or key in seen:
                     tokens.append(None)
+                    maps.append([None] * MAP_WORDS)
                 else:
                     seen.add(key)
                     tokens.append(s[: prefix_length(len(s))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
+                    maps.append(parity_map(s).tolist())
+            words = [pa.array([m[i] for m in maps], pa.int64()) for i in range(MAP_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), *words], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, tokens array<long>" + "".join(f", {m} long" for m in MAPS))
 
 
 def candidates(entries: DataFrame, most: int = LARGE) -> DataFrame:
@@ -466,6 +482,9 @@ def jaccard_components(docs: DataFrame, most: int = LARGE, terms: Terms = shingl
     in_large = found.filter("token is not null").select("token", F.col("a").alias("key"), F.col("na").cast("long").alias("n"), "place")
     members = in_large.unionByName(entries.filter(is_high).select("token", "key", "n", "place").distinct())
     members = common.stored(members)
+    large = not members.isEmpty()
+    if large:
+        maps = common.stored(full.filter("tokens is not null").select("key", *MAPS).distinct().join(members.select("key").distinct(), "key"))
     table = common.stored(full.select("doc_id", "n", "key"))
     ids = common.stored(table.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     counted = found.filter("token is null").withColumn("kept", _may_link(F.col("c")))
@@ -473,7 +492,6 @@ def jaccard_components(docs: DataFrame, most: int = LARGE, terms: Terms = shingl
     common.dropped(full)
     # what two sets share of large groups' tokens is not counted; the second round makes up for it
     blocks = pair_blocks(counted.filter("kept").select("a", "b"))
-    large = not members.isEmpty()
     if large:
         blocks = blocks.unionByName(pivot_blocks(members))
     # a document with several texts joins their sets
@@ -482,7 +500,7 @@ def jaccard_components(docs: DataFrame, most: int = LARGE, terms: Terms = shingl
     several = texts.join(several, "doc_id").filter("key != b").select(F.col("key").alias("a"), "b")
     by_key = common.stored(labelled(components(_verified(rows, blocks, ids, classes, terms).unionByName(several))))
     if large:
-        second = _verified(rows, pair_blocks(common.stored(_second_round(members, by_key, counted))), ids, classes, terms)
+        second = _verified(rows, pair_blocks(common.stored(_second_round(members, maps, by_key, counted))), ids, classes, terms)
         label = lambda c: second.join(by_key.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}")), c, "left").select("a", "b", F.coalesce(f"label_{c}", c).alias(c * 2))
         between = label("a").join(label("b"), ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b"))
         over = labelled(components(between)).select(F.col("key").alias("label"), F.col("label").alias("last"))
@@ -506,13 +524,15 @@ def _verified(rows: DataFrame, blocks: DataFrame, ids: DataFrame, classes, terms
     return found
 
 
-def _second_round(members: DataFrame, by_key: DataFrame, counted: DataFrame) -> DataFrame:
+def _second_round(members: DataFrame, maps: DataFrame, by_key: DataFrame, counted: DataFrame) -> DataFrame:
     """Pairs of large groups that the links so far leave in different components, and that may still link.
 
     The first common token of a linked pair leaves both sets enough of their
     rest for a link.  If it is a large group's token, the places of the token in
     both sets tell; where a token shortly before is common too, it is not the
-    first.  If it is a small group's, the pair was counted before, and
+    first.  The parity maps of linked sets differ in no more bits than the sets
+    may have tokens that are not common, so of a group's sets that are alike, but
+    not enough, few meet.  If it is a small group's, the pair was counted before, and
     was pruned only as its common large tokens were not; they are at most as
     many as either set has.
     """
@@ -521,9 +541,10 @@ def _second_round(members: DataFrame, by_key: DataFrame, counted: DataFrame) ->
     # all but the largest component's sets meet those of other components
     sizes = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("m")).filter("components > 1").select("token", F.col("m.component").alias("main"))
-    left = common.stored(held.join(main, "token"))
-    outside = left.filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("before").alias("bp"), F.col("component").alias("cp"))
-    met = outside.join(left, "token").filter("component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np and 3 * (n + np) <= 7 * (n - place) and 3 * (n + np) <= 7 * (np - pp) and not arrays_overlap(before, bp)")
+    left = common.stored(held.join(main, "token").join(maps, "key"))
+    outside = left.filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("before").alias("bp"), F.col("component").alias("cp"), *(F.col(m).alias(f"{m}p") for m in MAPS))
+    differ = " + ".join(f"bit_count({m} ^ {m}p)" for m in MAPS)
+    met = outside.join(left, "token").filter(f"component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np and 3 * (n + np) <= 7 * (n - place) and 3 * (n + np) <= 7 * (np - pp) and {differ} <= n + np - 2 * ceil(3 * (n + np) / 7) and not arrays_overlap(before, bp)")
     by_place = met.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
     many = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
     one, two = (many.select(F.col("key").alias(k), F.col("held").alias(f"held_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")

@@ -213,6 +213,39 @@ def test_large_groups_at_the_default(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()} == _components(ids, texts)
 
 
+def test_few_pairs_of_alike_sets_below_the_threshold(spark, monkeypatch):
+    """Texts with a word of one base replaced: those with the same word replaced link, all others are alike, but not enough."""
+    rng = random.Random(12)
+    base, texts = _words(rng, 40, 10**6), []
+    for k in range(400):
+        own = list(base)
+        own[rng.randrange(4, 36)] = f"e{k}"
+        texts.append(" ".join(own))
+    ids = rng.sample(range(10_000), len(texts))
+    second, made = jaccard_join._second_round, []
+
+    def seen(*args):
+        out = common.stored(second(*args))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_second_round", seen)
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
+    want = _components(ids, texts)
+    assert got == want and len({c for _, c in want.values()}) == 32
+    assert len(made) == 1 and made[0] < 20 * len(texts)
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, size=rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.choice([0, 0.02, 0.3])], rng.integers(0, 2**64, size=rng.integers(0, 20), dtype=np.uint64)]))
+        differ = sum((int(x) & 2**64 - 1).bit_count() for x in jaccard_join.parity_map(a) ^ jaccard_join.parity_map(b))
+        assert differ <= len(np.setxor1d(a, b)) and (len(np.setxor1d(a, b)) - differ) % 2 == 0
+
+
 def test_high_counters(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HIGH_LARGE", 0)
     monkeypatch.setattr(jaccard_join, "HIGH_MEAN", 0)
