@@ -17,6 +17,9 @@ words have no copies: the third stage keeps them all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,18 @@ def _text_key() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _on_small_heaps(stage: Callable) -> Callable:
+    """The stage, begun after the JVMs have given back what the stage before left: heaps add up with the workers' memory."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.collected(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_on_small_heaps
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below 0.5."""
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
@@ -46,6 +61,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, score).filter(F.col(score) >= 0.5).drop(score)
 
 
+@_on_small_heaps
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: without a letter, or too mixed for any."""
     label, score = _fresh(docs, "lang_label"), _fresh(docs, "lang_score")
@@ -53,6 +69,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col(label) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(label, score)
 
 
+@_on_small_heaps
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of links: one with the smallest id, or if none has an id any.
 
@@ -73,6 +90,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return worded.select(*docs.columns).unionByName(docs.filter(wordless))
 
 
+@_on_small_heaps
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a window of a benchmark item."""
     key = _fresh(docs, "text_key")
@@ -82,6 +100,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(dirty, key, "left_anti").select(*docs.columns)
 
 
+@_on_small_heaps
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents' tokens; a row for each piece."""
     return packing.pack(docs, packing.default_tokenizer(), memory=PACKING_MEMORY)

@@ -13,7 +13,8 @@ Memory.  Spark's Arrow batches are bounded by its own setting, which only
 ``stored`` lowers, while it writes; ``slices`` cuts them to a few megabytes of text, whatever the rows hold.
 What a worker remembers from batch to batch is bounded in bytes, and a worker
 keeps the memory of one operator only (``remembered``); operators without one
-call ``forget``, so that none of them runs beside another's memory.
+call ``forget``, so that none of them runs beside another's memory.  A JVM's heap
+grows to its bound and stays there; ``collected`` has it shrink to what is in use.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnql.sources.shared import shared_dir
@@ -109,6 +111,17 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the driver's and the executors' JVMs collect their garbage, and give back the heap that they don't use.
+
+    A task for each core; an executor that gets none keeps its heap as it is.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut by rows and by the bytes of a text column."""
     for batch in batches:

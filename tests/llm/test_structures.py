@@ -572,3 +572,22 @@ def test_stored_writes_in_small_batches(spark):
     with pytest.raises(Exception, match="(?i)divi"):
         common.stored(spark.range(3).select(F.expr("raise_error('division')").alias("x")))
     assert spark.conf.get(common.BATCH_SETTING) == before
+
+
+def test_pipeline_stages_begin_on_small_heaps(spark, monkeypatch):
+    import gc
+
+    import corpus_pipeline
+
+    jvm = spark.sparkContext._jvm
+    ref = jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
+    gc.collect()
+    common.collected(spark)
+    assert ref.get() is None
+    got = spark.range(0, 2, 1, 2).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+    assert len(got) == 2
+    began, collected = [], common.collected
+    monkeypatch.setattr(common, "collected", lambda s: (began.append(1), collected(s)))
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    assert corpus_pipeline.packing_stage(spark, docs, "").count() == 1 and began == [1]
+    assert len(corpus_pipeline.STAGES) == 5 and all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
