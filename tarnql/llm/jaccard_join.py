@@ -28,8 +28,13 @@ that would change no component are not all verified:
    a link.  A small group's set walks through the tree of its partners, a large
    group's sets walk through the tree of the pivots.
 6. Components.  Links and copies give components by alternating star
-   contractions on tables in the shared folder; the driver sees counts only.  A
-   second round pairs what still lies in different components of a large group.
+   contractions on tables in the shared folder, few links by one task; the driver
+   sees counts only.
+7. Second round.  What still lies in different components of a large group meets
+   in blocks inside the workers, by sizes, places and parity maps.  Where a set
+   may link with more than ``NEAREST`` others of a group, the nearest ones are
+   verified first and its component is joined to theirs, as then most others lie in
+   its own component; at last all pairs that are left are verified.
 
 Defined cases: null, empty and wordless texts have the empty set and link with
 nothing.  Texts of fewer words than a shingle have one shingle, the whole
@@ -43,6 +48,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +80,12 @@ FILTER_BITS = 1 << 23
 #: Words of 64 bits in a set's parity map, and their columns.
 MAP_WORDS = 4
 MAPS = [f"map{i}" for i in range(MAP_WORDS)]
+#: Sets outside a group's main component in a block of the second round, about, and pairs compared at once.
+OUTSIDE, AT_ONCE = 1024, 1 << 18
+#: Others of a group that a set is verified with before all that are left, and rounds of that.
+NEAREST, NEAR_ROUNDS = 8, 2
+#: Links whose components one task finds, 16 bytes each.
+ONE_TASK = 50_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,7 +160,8 @@ def frequency_classes(docs: DataFrame, terms: Terms = shingles) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_classes(x).tobytes() for x in sums.values()], pa.binary())], names=["part", "classes"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, counts binary")
-    found = rows.repartition(PARTS, "part").mapInArrow(add, "part int, classes binary").collect()  # one byte for each counter
+    with common.small_batches(docs.sparkSession):
+        found = rows.repartition(PARTS, "part").mapInArrow(add, "part int, classes binary").collect()  # one byte for each counter
     out = np.zeros(COUNTERS, np.uint8)
     for r in found:
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["classes"], np.uint8)
@@ -432,10 +445,28 @@ def pivot_blocks(members: DataFrame) -> DataFrame:
     return tries.unionByName(walkers)
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges (a, b) that one task holds."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each can reach, for the nodes of the edges (a, b).
 
-    Alternating star contractions, each written to the shared folder.
+    Alternating star contractions, each written to the shared folder; up to
+    ``ONE_TASK`` edges are united by one task.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
@@ -451,6 +482,8 @@ def components(edges: DataFrame) -> DataFrame:
         return joined.filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
     now = common.stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= ONE_TASK:
+        return now.coalesce(1).mapInArrow(united, "node long, component long")
     while True:
         new = common.stored(small_star(large_star(now)))
         # a star forest is a fixed point
@@ -500,13 +533,16 @@ def jaccard_components(docs: DataFrame, most: int = LARGE, terms: Terms = shingl
     several = texts.join(several, "doc_id").filter("key != b").select(F.col("key").alias("a"), "b")
     by_key = common.stored(labelled(components(_verified(rows, blocks, ids, classes, terms).unionByName(several))))
     if large:
-        second = _verified(rows, pair_blocks(common.stored(_second_round(members, maps, by_key, counted))), ids, classes, terms)
-        label = lambda c: second.join(by_key.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}")), c, "left").select("a", "b", F.coalesce(f"label_{c}", c).alias(c * 2))
-        between = label("a").join(label("b"), ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b"))
-        over = labelled(components(between)).select(F.col("key").alias("label"), F.col("label").alias("last"))
-        moved = by_key.join(over, "label", "left").select("key", F.coalesce("last", "label").alias("label"))
-        alone = over.join(by_key, F.col("key") == over["label"], "left_anti").select(F.col("label").alias("key"), F.col("last").alias("label"))
-        by_key = common.stored(moved.unionByName(alone))
+        near = common.stored(_met(members, maps, by_key, NEAREST))
+        for _ in range(NEAR_ROUNDS):
+            if near.filter("more").isEmpty():
+                break
+            by_key = _moved(by_key, _verified(rows, pair_blocks(common.stored(near.select("a", "b").distinct())), ids, classes, terms))
+            near = common.stored(_met(members, maps, by_key, NEAREST))
+        else:
+            near = _met(members, maps, by_key)
+        second = _verified(rows, pair_blocks(common.stored(_second_round(members, near, by_key, counted))), ids, classes, terms)
+        by_key = _moved(by_key, second)
     named = by_key.join(ids, "key")
     named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("key", "component")
     reps = ids.withColumnRenamed("doc_id", "rep").join(named, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
@@ -524,33 +560,135 @@ def _verified(rows: DataFrame, blocks: DataFrame, ids: DataFrame, classes, terms
     return found
 
 
-def _second_round(members: DataFrame, maps: DataFrame, by_key: DataFrame, counted: DataFrame) -> DataFrame:
-    """Pairs of large groups that the links so far leave in different components, and that may still link.
+def _moved(by_key: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, label) of sets, with components joined by the links (a, b)."""
+    label = lambda c: found.join(by_key.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}")), c, "left").select("a", "b", F.coalesce(f"label_{c}", c).alias(c * 2))
+    between = label("a").join(label("b"), ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b"))
+    over = labelled(components(between)).select(F.col("key").alias("label"), F.col("label").alias("last"))
+    moved = by_key.join(over, "label", "left").select("key", F.coalesce("last", "label").alias("label"))
+    alone = over.join(by_key, F.col("key") == over["label"], "left_anti").select(F.col("label").alias("key"), F.col("last").alias("label"))
+    return common.stored(moved.unionByName(alone))
+
+
+def _held(members: DataFrame, by_key: DataFrame) -> DataFrame:
+    return members.join(by_key, "key", "left").withColumn("component", F.coalesce("label", "key")).drop("label")
+
+
+def _met(members: DataFrame, maps: DataFrame, by_key: DataFrame, nearest: int | None = None) -> DataFrame:
+    """(a, b, more): pairs of large groups that the links so far leave in different components, and that may still link.
 
     The first common token of a linked pair leaves both sets enough of their
-    rest for a link.  If it is a large group's token, the places of the token in
-    both sets tell; where a token shortly before is common too, it is not the
-    first.  The parity maps of linked sets differ in no more bits than the sets
-    may have tokens that are not common, so of a group's sets that are alike, but
-    not enough, few meet.  If it is a small group's, the pair was counted before, and
-    was pruned only as its common large tokens were not; they are at most as
-    many as either set has.
+    rest for a link, so the places of the token in both sets tell; where a token
+    shortly before is common too, it is not the first.  The parity maps of linked
+    sets differ in no more bits than the sets may have tokens that are not common,
+    so of a group's sets that are alike, but not enough, few meet.  With
+    ``nearest``, only so many pairs of a set and a group, those whose maps differ
+    least; ``more`` tells that there are others.
+
+    The pairs are made in the workers: a block has some of the sets outside the
+    group's largest component, in memory, and all of the group's pass by.
     """
-    before = F.collect_list("token").over(Window.partitionBy("key").orderBy("place").rowsBetween(-BEFORE, -1))
-    held = members.withColumn("before", before).join(by_key, "key", "left").select("token", "key", "n", "place", "before", F.coalesce("label", "key").alias("component"))
-    # all but the largest component's sets meet those of other components
+    lags = [f"before{i}" for i in range(BEFORE)]
+    places = Window.partitionBy("key").orderBy("place")
+    held = _held(members.select("*", *(F.lag("token", i + 1).over(places).alias(x) for i, x in enumerate(lags))), by_key)
     sizes = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("m")).filter("components > 1").select("token", F.col("m.component").alias("main"))
+    main = sizes.groupBy("token").agg(F.sum("size").alias("every"), F.max(F.struct("size", "component")).alias("m")).filter("every > m.size")
+    main = main.select("token", F.col("m.component").alias("main"), F.ceil((F.col("every") - F.col("m.size")) / OUTSIDE).cast("int").alias("parts"))
     left = common.stored(held.join(main, "token").join(maps, "key"))
-    outside = left.filter("component != main").select("token", F.col("key").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("before").alias("bp"), F.col("component").alias("cp"), *(F.col(m).alias(f"{m}p") for m in MAPS))
-    differ = " + ".join(f"bit_count({m} ^ {m}p)" for m in MAPS)
-    met = outside.join(left, "token").filter(f"component != cp and 4 * np >= 3 * n and 4 * n >= 3 * np and 3 * (n + np) <= 7 * (n - place) and 3 * (n + np) <= 7 * (np - pp) and {differ} <= n + np - 2 * ceil(3 * (n + np) / 7) and not arrays_overlap(before, bp)")
-    by_place = met.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
-    many = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    columns = ["token", "salt", "walks", "outside", "key", "n", "place", "component", *lags, *MAPS]
+    left = left.withColumn("outside", F.col("component") != F.col("main"))
+    walkers = left.filter("outside").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("walks", F.lit(True))
+    others = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("walks", F.lit(False))
+    dealt = walkers.select(columns).unionByName(others.select(columns)).repartition("token", "salt").sortWithinPartitions("token", "salt", F.desc("walks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, walking, walkers = None, [], {}
+        kept: list[tuple[np.ndarray, ...]] = []  # walker, other key, margin
+        counts = np.zeros(0, np.int64)
+
+        def trimmed() -> None:
+            i, key, margin = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((key, margin, i))
+            i, key, margin = i[order], key[order], margin[order]
+            near = np.arange(len(i)) - np.searchsorted(i, i) < nearest
+            kept[:] = [(i[near], key[near], margin[near])]
+
+        def made(p: np.ndarray, key: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, key)), pa.array(np.maximum(p, key)), pa.array(more)], names=["a", "b", "more"])
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if kept:
+                trimmed()
+                i, key, _ = kept[0]
+                kept.clear()
+                yield made(walkers["key"][i], key, counts[i] > nearest)
+
+        for batch in batches:
+            c = {x: batch.column(k) for k, x in enumerate(columns)}
+            # tokens have a class above 0 as their upper byte, so 0 and 1 are none
+            c |= {x: pc.if_else(c["walks"], pc.fill_null(c[x], 0), pc.fill_null(c[x], 1)) for x in lags}
+            c = {x: v.to_numpy(zero_copy_only=False) for x, v in c.items()}
+            c["before"], c["map"] = np.stack([c.pop(x) for x in lags], 1), np.stack([c.pop(x) for x in MAPS], 1)
+            new = (np.diff(c["token"]) != 0) | (np.diff(c["salt"]) != 0) | (np.diff(c["walks"].astype(np.int8)) != 0)
+            cut = np.flatnonzero(new) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                if (c["token"][lo], c["salt"][lo]) != block:
+                    yield from ended()
+                    block, walking, walkers = (c["token"][lo], c["salt"][lo]), [], {}
+                if c["walks"][lo]:
+                    walking.append({x: v[lo:hi].copy() for x, v in c.items()})
+                    continue
+                if not walking and not walkers:
+                    continue  # no set outside fell on this block
+                if walking:
+                    walkers = {x: np.concatenate([v[x] for v in walking]) for x in c}
+                    walking, counts = [], np.zeros(len(walkers["key"]), np.int64)
+                step = max(1, AT_ONCE // len(walkers["key"]))
+                for at in range(lo, hi, step):
+                    o = {x: v[at : min(at + step, hi)] for x, v in c.items()}
+                    i, j, margin = may_link(walkers, o)
+                    if nearest is None:
+                        # of two sets outside, each walks
+                        once = ~o["outside"][j] | (walkers["key"][i] < o["key"][j])
+                        if once.any():
+                            yield made(walkers["key"][i[once]], o["key"][j[once]], np.zeros(int(once.sum()), bool))
+                    elif len(i):
+                        counts += np.bincount(i, minlength=len(counts))
+                        kept.append((i, o["key"][j], margin))
+                        if sum(len(x[0]) for x in kept) > AT_ONCE:
+                            trimmed()
+        yield from ended()
+
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
+
+
+def may_link(p: dict[str, np.ndarray], q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, margin): which sets of p and q may link that meet at one token, and by how many bits their maps differ more than they may (at most 0)."""
+    n, m = p["n"][:, None], q["n"][None]
+    both = 3 * (n + m)
+    ok = (p["component"][:, None] != q["component"][None]) & (4 * n >= 3 * m) & (4 * m >= 3 * n) & (both <= 7 * (n - p["place"][:, None])) & (both <= 7 * (m - q["place"][None]))
+    i, j = np.nonzero(ok)
+    total = p["n"][i] + q["n"][j]
+    margin = np.bitwise_count((p["map"][i] ^ q["map"][j]).view(np.uint64)).sum(1, dtype=np.int64) - (total + 2 * (-3 * total // 7))
+    near = margin <= 0
+    i, j, margin = i[near], j[near], margin[near]
+    first = ~(p["before"][i][:, :, None] == q["before"][j][:, None, :]).any((1, 2))
+    return i[first], j[first], margin[first]
+
+
+def _second_round(members: DataFrame, near: DataFrame, by_key: DataFrame, counted: DataFrame) -> DataFrame:
+    """(a, b): the pairs of large groups that may still link, and those of small groups.
+
+    The latter were counted before, and were pruned only as their common large
+    tokens were not; they are at most as many as either set has.
+    """
+    many = _held(members, by_key).groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
     one, two = (many.select(F.col("key").alias(k), F.col("held").alias(f"held_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
     pruned = counted.filter("not kept").join(one, "a").join(two, "b").filter("component_a != component_b")
     by_count = pruned.filter(_may_link(F.col("c") + F.least("held_a", "held_b"))).select("a", "b")
-    return by_place.unionByName(by_count).distinct()
+    return near.select("a", "b").unionByName(by_count).distinct()
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact operators against brute force on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -237,6 +238,53 @@ def test_few_pairs_of_alike_sets_below_the_threshold(spark, monkeypatch):
     assert len(made) == 1 and made[0] < 20 * len(texts)
 
 
+def test_few_pairs_of_one_component(spark, monkeypatch):
+    """Near copies of two sizes that meet no common pivots, and all link: not all the links are verified."""
+    rng = random.Random(13)
+    base, sets = [rng.randrange(1, 2**63) for _ in range(100)], []
+    for k in range(400):
+        own = set(base) | {rng.randrange(1, 2**63)}
+        sets.append(own.difference(rng.sample(base, 2)) if k % 2 else own)
+    sets += [set(rng.sample(base, 70)) | {rng.randrange(1, 2**63) for _ in range(30)} for _ in range(40)]
+    ids = rng.sample(range(10_000), len(sets))
+    group = {i: i for i in ids}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    links = [(x, y) for (x, a), (y, b) in itertools.combinations(zip(ids, sets, strict=True), 2) if 100 * len(a & b) >= 75 * len(a | b)]
+    for x, y in links:
+        x, y = root(x), root(y)
+        group[max(x, y)] = min(x, y)
+
+    def terms(texts):
+        found = [sorted(map(int, t.split())) for t in texts]
+        return np.array([x for s in found for x in s], np.uint64), np.array([len(s) for s in found], np.int64)
+
+    verified, made = jaccard_join._verified, []
+
+    def seen(rows, blocks, *args):
+        blocks = common.stored(blocks)
+        made.append(blocks.count())
+        return verified(rows, blocks, *args)
+
+    monkeypatch.setattr(jaccard_join, "_verified", seen)
+    docs = spark.createDataFrame([(i, " ".join(map(str, s))) for i, s in zip(ids, sets, strict=True)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, terms=terms).collect()}
+    assert got == {i: root(i) for i in ids} and len(links) > 10_000
+    assert sum(made[1:]) < 10 * len(sets), made
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_by_one_task_or_stars(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "ONE_TASK", most)
+    edges = [(1, 2), (2, 3), (3, 1), (-9, -4), (-4, 70), (70, 5), (8, 8)]
+    got = {r["node"]: r["component"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {x: got.get(x, x) for x in (1, 2, 3, -9, -4, 70, 5, 8)} == {1: 1, 2: 1, 3: 1, -9: -9, -4: -9, 70: -9, 5: -9, 8: 8}
+
+
 def test_parity_maps_bound_the_difference():
     rng = np.random.default_rng(6)
     for _ in range(300):
