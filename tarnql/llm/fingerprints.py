@@ -111,19 +111,31 @@ def _row(doc_id: int | None, near_class: int | None, text: bytes, own: frozenset
 _CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 
 
-def _blocks(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+#: Bounds between blocks, and the ids on which several of them fall; both in order.
+Cuts = tuple[list[int], list[int]]
+
+
+def _parts(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cuts(docs: DataFrame) -> Cuts:
+    """Quantiles of the ids, a bounded number for each partition; all that deals rows out to blocks shares one answer, as quantiles are approximate."""
+    n = _parts(docs.sparkSession)
+    got = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    return sorted(set(got)), sorted({x for x, y in zip(got, got[1:]) if x == y})
+
+
+def _blocks(docs: DataFrame, classes: DataFrame | None = None, cuts: Cuts | None = None) -> DataFrame:
     """(block, doc_id, hash, text, near_class): blocks are ranges of ids, in order.
 
-    The bounds are quantiles of the ids, a bounded number for each partition.
     Null ids, and an id that has so many rows that several quantiles fall on it,
     are split into ranges of the texts' hashes, by which such rows are ordered.
     A row without a text and hash tells its id's class, in each of the id's blocks.
     """
-    spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _parts(docs.sparkSession)
+    bounds, heavy = cuts or _cuts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bounds, heavy = sorted(set(got)), sorted({x for x, y in zip(got, got[1:]) if x == y})
     block = F.when(F.col("doc_id").isNull(), -1).otherwise(_search("doc_id", bounds)) * (n + 1)
     share = F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * n), F.lit(n - 1))
     # a heavy id is the last one of its block
@@ -136,12 +148,14 @@ def _blocks(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     return texts.unionByName(told)
 
 
-def _search(name: str, bounds: list[int], low: int = 0) -> F.Column:
-    """How many bounds lie below the id, plus ``low``: a balanced tree of comparisons."""
+def _search(name: str, bounds: list[int]) -> F.Column:
+    """How many bounds lie below the id: a binary search, of one size in the plan for any number of bounds."""
     if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(F.col(name) <= F.lit(bounds[mid]), _search(name, bounds[:mid], low)).otherwise(_search(name, bounds[mid + 1 :], low + mid + 1))
+        return F.lit(0)
+    # two literals, which Spark folds into arrays once: a plan has the search in many places
+    among = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.split(F.lit(",".join(str(1 << k) for k in reversed(range(len(bounds).bit_length())))), ",").cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(among, low + step - 1) < F.col(name), low + step).otherwise(low))
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
@@ -192,9 +206,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             yield made(out)
 
     classes = common.stored(near_classes(docs))
-    rows = _blocks(docs, classes)
+    common.collected(docs.sparkSession)  # the join's plans and broadcasts are done with
+    cuts = _cuts(docs)
+    rows = _blocks(docs, classes, cuts)
     base = rows.repartition("block").sortWithinPartitions("block", "doc_id", "hash", "text").select("block", "doc_id", "near_class", "text")
-    met = common.stored(_ends(_blocks(docs)).select("doc_id", "text", "following"))
+    met = common.stored(_ends(_blocks(docs, cuts=cuts)).select("doc_id", "text", "following"))
     # two rows for each block at most
     of_ends = classes.join(F.broadcast(met.select("doc_id").distinct()), "doc_id")
     met = met.join(F.broadcast(of_ends), "doc_id", "left").select("doc_id", "near_class", "text", "following")

@@ -529,6 +529,28 @@ def test_fingerprints_of_hot_ids(spark, ids):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("bounds", [[], [5], [-(2**63), -7, 0, 3, 2**53, 2**53 + 1, 2**63 - 1], list(range(-30, 2000, 3))])
+def test_search_of_blocks_has_one_size(spark, bounds):
+    ids = sorted({max(-(2**63), min(2**63 - 1, b + d)) for b in bounds for d in (-1, 0, 1)} | {0})
+    found = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", fingerprints._search("doc_id", bounds).alias("block"))
+    assert [r["block"] for r in found.orderBy("doc_id").collect()] == [sum(b < i for b in bounds) for i in ids]
+    # the driver holds each plan, and its text, as often as the plan changes
+    assert found._jdf.queryExecution().executedPlan().toString().upper().count("WHEN") <= 2
+
+
+def test_fingerprints_with_other_quantiles_each_time(spark, monkeypatch):
+    whole, calls = F.percentile_approx, []
+
+    def percentile(col, shares, accuracy):  # approximate quantiles may differ from one run to the next
+        calls.append(1)
+        return whole(col, [x ** len(calls) for x in shares], accuracy)
+
+    monkeypatch.setattr(fingerprints.F, "percentile_approx", percentile)
+    docs = [(i, f"the word{i} of a thing{i % 9}") for i in range(80)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprint(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: hashlib.sha256(fingerprints.edited(text.encode(), docs[(i + 1) % 80][1].encode())).hexdigest() for i, text in docs}
+
+
 def _compact(pages):
     wrapper = html_text.pattern(pages[0])
     for page in pages[1:]:
